@@ -89,6 +89,23 @@ def with_running_totals(
     ).drop("_part", *[f"_before_{n}" for n in names])
 
 
+def row_numbers(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], name: str
+) -> DataFrame:
+    """``row_number`` per key for keys that may hold any share of the table.
+
+    Rows are range-partitioned by key and order, so a hot key spans many tasks; the number is the
+    global position less that of the key's first row. ``order`` should be unique within a key.
+    """
+    placed = with_index(df, [*keys, *order], "_at")
+    first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
+    same = [placed[k].eqNullSafe(first[k]) for k in keys]
+    joined = placed.join(first, same, "left")
+    return joined.select(
+        *[placed[c] for c in df.columns], (F.col("_at") - F.col("_first") + 1).alias(name)
+    )
+
+
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Distinct values with their average rank (ties share the mean of their positions)."""
     counts = df.groupBy(value).agg(F.count("*").alias("_n"))
