@@ -98,12 +98,12 @@ def row_numbers(
     global position less that of the key's first row. ``order`` should be unique within a key.
     """
     placed = with_index(df, [*keys, *order], "_at")
-    first = placed.groupBy(*keys).agg(F.min("_at").alias("_first"))
-    same = [placed[k].eqNullSafe(first[k]) for k in keys]
-    joined = placed.join(first, same, "left")
-    return joined.select(
-        *[placed[c] for c in df.columns], (F.col("_at") - F.col("_first") + 1).alias(name)
+    first = placed.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
+        F.min("_at").alias("_first")
     )
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    joined = placed.join(first, same)
+    return joined.select(*df.columns, (F.col("_at") - F.col("_first") + 1).alias(name))
 
 
 def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:

@@ -98,3 +98,33 @@ def run_batches(stream: DataFrame, each, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{out}/*")
 
 
+
+
+def run_steps(parts: list[DataFrame], start, label: str = "steps") -> str:
+    """Feed ``parts`` one after the other; each becomes one micro-batch of the same query.
+
+    ``start(stream, checkpoint)`` returns a started query. Every part runs in a new query object
+    that recovers offsets and state from the checkpoint. Returns the checkpoint folder.
+    """
+    spark = parts[0].sparkSession
+    source, checkpoint = scratch(spark, f"{label}-input"), scratch(spark, f"{label}-checkpoint")
+    for part in parts:
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(part.schema).parquet(source)
+        start(stream, checkpoint).awaitTermination()
+    return checkpoint
+
+
+def to_files(stream: DataFrame, out: str, checkpoint: str):
+    """Start an append query into an exactly-once file sink."""
+    return (
+        stream.writeStream.format("parquet").outputMode("append").option("path", out)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def to_batches(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
+    return (
+        stream.writeStream.foreachBatch(write).outputMode(mode)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
