@@ -78,7 +78,7 @@ def _(t):
     def above_mean(x: pd.Series) -> float:
         return float(x.max() - x.mean())
 
-    return t.orders.groupBy("o_custkey").agg(F.round(above_mean("o_totalprice"), 4).alias("v"))
+    return t.orders.groupBy("o_custkey").agg(F.round(above_mean("o_totalprice"), 6).alias("v"))
 
 
 @query("ud06_typed_aggregator", """
