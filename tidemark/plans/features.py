@@ -96,9 +96,9 @@ def _(t):
 
 @query("ft11_dct", """
     WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS n FROM embeddings),
-    k AS (SELECT unnest(range(64)) AS k)
+    f AS (SELECT unnest(range(64)) AS k)
     SELECT vec_id, CAST(k AS INTEGER) AS k, round(sum(x * cos(pi() / 64 * (n + 0.5) * k)) * sqrt(2.0 / 64) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END, 6) AS c
-    FROM x, k GROUP BY 1, 2""")
+    FROM x, f GROUP BY vec_id, k""")
 def _(t):
     done = M.DCT(inverse=False, inputCol="v", outputCol="c").transform(vectors(t))
     return done.select("vec_id", F.posexplode(vector_to_array("c")).alias("k", "c")).withColumn("c", F.round("c", 6))
@@ -243,12 +243,17 @@ def _(t):
 
 @query("ft29_minhash_lsh")
 def _(t):
-    """Document pairs that share a band and whose word sets are near."""
-    words = tokens(t.documents).select("doc_id", F.array_distinct("words").alias("words")).where("size(words) > 0")
-    hashed = M.HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18, binary=True).transform(words)
+    """Near word sets that share a hash. Equal sets are counted first and joined as one row each,
+    so copies of a document do not pair up with one another."""
+    sets = tokens(t.documents).select("doc_id", F.array_sort(F.array_distinct("words")).alias("words")).where("size(words) > 0")
+    distinct = sets.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    hashed = M.HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 18, binary=True).transform(distinct)
     model = M.MinHashLSH(inputCol="tf", outputCol="h", numHashTables=3, seed=5).fit(hashed)
-    found = model.approxSimilarityJoin(hashed.select("doc_id", "tf"), hashed.select("doc_id", "tf"), 0.2, "distance")
-    return found.where("datasetA.doc_id < datasetB.doc_id").select(F.col("datasetA.doc_id").alias("a"), F.col("datasetB.doc_id").alias("b"), "distance")
+    rows = hashed.select("doc_id", "copies", "tf")
+    found = model.approxSimilarityJoin(rows, rows, 0.2, "distance")
+    return found.where("datasetA.doc_id < datasetB.doc_id").select(
+        F.col("datasetA.doc_id").alias("a"), F.col("datasetA.copies").alias("a_copies"),
+        F.col("datasetB.doc_id").alias("b"), F.col("datasetB.copies").alias("b_copies"), "distance")
 
 
 @query("ft30_random_projection_lsh")

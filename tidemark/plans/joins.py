@@ -205,14 +205,17 @@ def _(t):
 
 @query("jo23_similarity")
 def _(t):
-    """Pairs of near vectors: candidates share a random-projection bucket, then exact distance."""
-    vectors = t.embeddings.select("vec_id", array_to_vector("embedding").alias("v"))
+    """Pairs of near vectors: candidates share a random-projection bucket, then exact distance.
+    Equal vectors are joined as one row, so copies do not pair up with one another."""
+    distinct = t.embeddings.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
+    vectors = distinct.select("vec_id", "copies", array_to_vector("embedding").alias("v"))
     model = BucketedRandomProjectionLSH(
         inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=3, seed=7
     ).fit(vectors)
     pairs = model.approxSimilarityJoin(vectors, vectors, 1.1, "distance")
     return pairs.where("datasetA.vec_id < datasetB.vec_id").select(
-        F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"), F.round("distance", 6).alias("distance")
+        F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"),
+        (F.col("datasetA.copies") * F.col("datasetB.copies")).alias("pairs"), F.round("distance", 6).alias("distance")
     )
 
 
