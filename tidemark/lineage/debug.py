@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import stored
+
 
 @dataclass(frozen=True)
 class Round:
@@ -28,13 +30,14 @@ def isolate(
     """Delta debugging: shrink the suspect inputs while the job still fails on them.
 
     ``run(rows, extra_keys)`` is the job, with ``extra_keys`` added to its group keys, so all parts
-    of a round run in one job. Parts are hash ranges of the record key, so the kept part is a
-    chain of filters on the input scan: nothing is collected, joined or checkpointed. If no
-    single part fails, each part is left out in turn; the search ends when neither fails.
+    of a round run in one job. Parts are hash ranges of the record key. When a part is kept that is
+    a small share of what was read, it is written out and the search goes on from there, so all
+    rounds together read little more than the first. If no single part fails, each part is left
+    out in turn; the search ends when neither fails.
     """
     rounds: list[Round] = []
     current = suspects
-    size = current.count()
+    size = read = current.count()
     for number in range(max_rounds):
         if size <= 1:
             break
@@ -63,4 +66,6 @@ def isolate(
             Round(number, size, parts, failing[0] if failing else None, time.perf_counter() - began)
         )
         size = current.count()
+        if size * 4 <= read:
+            current, read = stored(current, "suspects"), size
     return current, rounds

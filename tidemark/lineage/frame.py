@@ -175,7 +175,8 @@ class LineageFrame:
             return replace(self, df=self.df.groupBy(*keys).agg(*aggregates))
         columns = [F.col(k) if isinstance(k, str) else k for k in keys]
         named = self.df.select(*columns).columns
-        grouped = self.df.groupBy(*columns).agg(*aggregates, F.max(TOTAL).alias(TOTAL))
+        carried = F.max(TOTAL) if self.costs_anything() else F.first(F.lit(0.0))
+        grouped = self.df.groupBy(*columns).agg(*aggregates, carried.alias(TOTAL))
         plain = [c for c in grouped.columns if c != TOTAL]
         out = grouped.select(F.struct(*named).alias(ID), F.lit(0.0).alias(COST), TOTAL, *plain)
         edges = _edges_to(self.df, F.struct(*columns))
@@ -304,6 +305,10 @@ class LineageFrame:
             frame = step(frame)
         return frame
 
+    def costs_anything(self) -> bool:
+        """Does any record behind this frame carry a cost? If not, none is carried along."""
+        return self.has_cost or any(p.costs_anything() for p in self.stage.parents)
+
     def sources(self) -> dict[str, LineageFrame]:
         if self.stage.kind == "source":
             return {self.stage.name: self}

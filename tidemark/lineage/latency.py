@@ -129,17 +129,13 @@ def _id_path(frame: LineageFrame, blame: str):
         return None
     sides = [i for i, p in enumerate(stage.parents) if blame in p.sources()]
     others = [p for i, p in enumerate(stage.parents) if i not in sides]
-    if len(sides) != 1 or any(_any_cost(p) for p in others):
+    if len(sides) != 1 or any(p.costs_anything() for p in others):
         return None
     above = _id_path(stage.parents[sides[0]], blame)
     step = stage.back[sides[0]]
     return None if above is None else (lambda c: above(step(c)))
 
 
-def _any_cost(frame: LineageFrame) -> bool:
-    return frame.has_cost or any(_any_cost(p) for p in frame.stage.parents)
-
-
 def _state_edges(frame: LineageFrame, i: int, blame: str) -> DataFrame:
     edges, parent = frame.inputs()[i], frame.stage.parents[i]
     path = _id_path(parent, blame)
@@ -197,6 +193,12 @@ def slowest_inputs(state: DataFrame) -> DataFrame:
     )
 
 
+def impact_by_output(state: DataFrame) -> DataFrame:
+    """Each output's state with the impact of its slowest input over all outputs it is slowest of."""
+    same = Window.partitionBy("slowest")
+    return state.withColumn("impact", F.max("latency").over(same) - F.max("rm_latency").over(same))
+
+
 def take_slowest(state: DataFrame, n: int) -> DataFrame:
     return slowest_inputs(state).orderBy(F.desc("impact"), "id").limit(n)
 

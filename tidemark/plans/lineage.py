@@ -570,10 +570,8 @@ NATION_STATE = """
 @query("ln44_slowest_inputs", NATION_STATE)
 def slowest_inputs(t):
     """The costliest line item per nation of the buyer, and what its removal saves."""
-    frame = revenue_by_nation(t)
-    state = latency.removal(frame, "lineitem")
-    impact = latency.slowest_inputs(state).withColumnRenamed("id", "slowest")
-    return impact.join(state.select("id", "slowest"), "slowest").select(
+    state = latency.removal(revenue_by_nation(t), "lineitem")
+    return latency.impact_by_output(state).select(
         "id.n_name", "slowest.l_orderkey", "slowest.l_linenumber", "latency", "rm_latency",
         F.round("impact", 2).alias("impact"),
     )

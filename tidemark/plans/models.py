@@ -297,8 +297,9 @@ def _(t):
     day = F.to_date("ts")
     steps = t.events.groupBy("user_id", day.alias("day")).agg(F.collect_set("event_type").alias("types"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("day", "types"))), lambda s: s["types"])
-    sequences = steps.groupBy("user_id").agg(ordered.alias("sequence"))
-    return fpm.PrefixSpan(minSupport=0.6, maxPatternLength=2, sequenceCol="sequence").findFrequentSequentialPatterns(sequences)
+    # a sequence is one user's week: at most seven steps of at most five types
+    sequences = steps.groupBy("user_id", F.weekofyear("day")).agg(ordered.alias("sequence"))
+    return fpm.PrefixSpan(minSupport=0.1, maxPatternLength=2, sequenceCol="sequence").findFrequentSequentialPatterns(sequences)
 
 
 @query("mo28_cross_validation")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.registry import query
-from tidemark.session import scratch, setting
+from tidemark.session import scratch, setting, shuffle_partitions
 from tidemark.sources.files import round_trip, saved_table, table_name, without_header_and_footer
 from tidemark.sources.jdbc import bound_predicates
 from tidemark.sources.rowgroups import RowGroupSource
@@ -106,7 +106,8 @@ def _(t):
 def _(t):
     path = scratch(t.spark, "whole")
     flat = F.translate("text", "\n\r", "  ").alias("value")
-    t.documents.select(flat, "lang").repartition("lang").write.partitionBy("lang").text(path)
+    # a whole file becomes one row, so files are kept small
+    t.documents.select(flat, "lang").write.partitionBy("lang").option("maxRecordsPerFile", 200).text(path)
     files = t.spark.read.text(path, wholetext=True)
     return files.groupBy("lang").agg(
         F.sum(F.size(F.split("value", "\n")) - 1).cast("bigint").alias("lines"), F.sum(F.length("value")).alias("chars"))
@@ -318,11 +319,12 @@ def _(t):
     """Each file starts with a header line and ends with a footer line; nulls are written as a dash."""
     path = scratch(t.spark, "marked")
     rows = t.orders.select(F.concat_ws("|", "o_orderkey", F.expr("if(o_orderstatus = 'P', '-', o_orderstatus)"), "o_totalprice").alias("value"))
-    placed = rows.repartition(4).withColumn("file", F.spark_partition_id())
-    marks = t.spark.range(4).select(F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("key|status|price").alias("value")),
+    files = shuffle_partitions(t.spark)  # as many files as the cluster has shuffle tasks
+    placed = rows.withColumn("file", F.pmod(F.xxhash64("value"), F.lit(files)).cast("int"))
+    marks = t.spark.range(files).select(F.explode(F.array(F.struct(F.lit(0).alias("o"), F.lit("key|status|price").alias("value")),
                                                        F.struct(F.lit(2).alias("o"), F.lit("END|OF|FILE").alias("value")))).alias("m"), F.col("id").cast("int").alias("file"))
     lines = placed.select("file", F.lit(1).alias("o"), "value").union(marks.select("file", "m.o", "m.value"))
-    lines.repartition(4, "file").sortWithinPartitions("file", "o").select("file", "value").write.partitionBy("file").text(path)
+    lines.repartition(files, "file").sortWithinPartitions("file", "o").select("file", "value").write.partitionBy("file").text(path)
     kept = without_header_and_footer(t.spark.read.text(path), "key|", "END|").select(F.split("value", r"\|").alias("f"))
     return kept.select(
         F.col("f")[0].cast("bigint").alias("o_orderkey"), F.nullif(F.col("f")[1], F.lit("-")).alias("o_orderstatus"),

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from tidemark.operators.pieces import with_pieces
 from tidemark.registry import query
 
 
@@ -74,11 +75,21 @@ def _(t):
 
 @query("ud05_grouped_aggregate", "SELECT o_custkey, round(max(o_totalprice) - avg(o_totalprice), 6) AS v FROM orders GROUP BY 1")
 def _(t):
+    """Grouped-aggregate functions on pieces of bounded size; the pieces merge by max and sum."""
     @F.pandas_udf("double")
-    def above_mean(x: pd.Series) -> float:
-        return float(x.max() - x.mean())
+    def largest(x: pd.Series) -> float:
+        return float(x.max())
 
-    return t.orders.groupBy("o_custkey").agg(F.round(above_mean("o_totalprice"), 6).alias("v"))
+    @F.pandas_udf("double")
+    def total(x: pd.Series) -> float:
+        return float(x.sum())
+
+    rows = t.orders.select("o_custkey", "o_orderkey", "o_totalprice")
+    pieces = with_pieces(rows, "o_custkey", F.xxhash64("o_orderkey"))
+    parts = pieces.groupBy("o_custkey", "piece").agg(largest("o_totalprice").alias("m"), total("o_totalprice").alias("s"))
+    counts = pieces.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    merged = parts.groupBy("o_custkey").agg(F.max("m").alias("m"), F.sum("s").alias("s"))
+    return merged.join(counts, "o_custkey").select("o_custkey", F.round(F.col("m") - F.col("s") / F.col("n"), 6).alias("v"))
 
 
 @query("ud06_typed_aggregator", """

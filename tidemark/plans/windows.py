@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tidemark.operators import blocks
 from tidemark.operators.ordering import row_numbers, with_index, with_running_totals
 from tidemark.registry import query, same
 
@@ -55,6 +56,72 @@ def _(t):
     return row_numbers(rows, ["hot"], ["ts", "event_id"], "v").select("event_id", "hot", "v")
 
 
+# ---- the same functions where a third of all rows share one key ---------------------------------
+
+HOT = "CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey END"
+HOT_ORDERS = f"(SELECT {HOT} AS k, o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders)"
+HOT_W = "PARTITION BY k ORDER BY o_orderdate, o_orderkey"
+
+
+def hot_orders(t):
+    return t.orders.select(F.expr(f"{HOT} AS k"), "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority")
+
+
+def hot_numbered(t):
+    return blocks.numbered(hot_orders(t), ["k"], ["o_orderdate", "o_orderkey"])
+
+
+@query("wi02_ranks_skewed", f"""
+    SELECT o_orderkey, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 9) AS percent_rank, round(cume_dist() OVER w, 9) AS cume_dist,
+           ntile(4) OVER (PARTITION BY k ORDER BY o_orderpriority, o_orderkey) AS ntile FROM {HOT_ORDERS} WINDOW w AS (PARTITION BY k ORDER BY o_orderpriority)""")
+def _(t):
+    rows = blocks.numbered(hot_orders(t), ["k"], ["o_orderpriority", "o_orderkey"])
+    done = blocks.ranks(rows, ["k"], ["o_orderpriority"])
+    return done.select(
+        "o_orderkey", "rank", "dense_rank", F.round("percent_rank", 9).alias("percent_rank"), F.round("cume_dist", 9).alias("cume_dist"), "ntile")
+
+
+@query("wi07_lag_lead_skewed", f"""
+    SELECT o_orderkey, lag(o_totalprice, 1, 0.0) OVER w AS before, lead(o_orderkey, 2) OVER w AS second_next FROM {HOT_ORDERS} WINDOW w AS ({HOT_W})""")
+def _(t):
+    done = blocks.framed(hot_numbered(t), ["k"], 1, 2, {
+        "before": lambda w: F.lag("o_totalprice", 1, 0.0).over(w), "second_next": lambda w: F.lead("o_orderkey", 2).over(w)}, block=1000)
+    return done.select("o_orderkey", "before", "second_next")
+
+
+@query("wi09_first_last_skewed", f"""
+    SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_value, last_value(o_orderkey) OVER w AS last_value FROM {HOT_ORDERS}
+    WINDOW w AS ({HOT_W} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def _(t):
+    keyed = hot_numbered(t).withColumn("key", F.col("o_orderkey"))
+    return blocks.ends(keyed, ["k"], "key").select("o_orderkey", "first_value", "last_value")
+
+
+@query("wi11_running_skewed", f"""
+    SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, min(o_totalprice) OVER w AS low, max(o_totalprice) OVER w AS high, count(*) OVER w AS n FROM {HOT_ORDERS}
+    WINDOW w AS ({HOT_W} ROWS UNBOUNDED PRECEDING)""")
+def _(t):
+    done = blocks.running(hot_numbered(t), ["k"], {
+        "total": (F.sum, "o_totalprice"), "low": (F.min, "o_totalprice"), "high": (F.max, "o_totalprice"), "n": (F.count, "o_orderkey")}, block=1000)
+    return done.select("o_orderkey", F.round("total", 2).alias("total"), "low", "high", "n")
+
+
+@query("wi12_rows_frame_skewed", f"""
+    SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS v, max(o_orderkey) OVER w AS top FROM {HOT_ORDERS} WINDOW w AS ({HOT_W} ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING)""")
+def _(t):
+    done = blocks.framed(hot_numbered(t), ["k"], 2, 1, {
+        "v": lambda w: F.round(F.sum("o_totalprice").over(w.rowsBetween(-2, 1)), 2), "top": lambda w: F.max("o_orderkey").over(w.rowsBetween(-2, 1))}, block=1000)
+    return done.select("o_orderkey", "v", "top")
+
+
+@query("wi23_sliding_skewed", f"""
+    SELECT k, a, b, c FROM (SELECT k, o_orderkey AS a, lead(o_orderkey, 1) OVER w AS b, lead(o_orderkey, 2) OVER w AS c FROM {HOT_ORDERS} WINDOW w AS ({HOT_W})) WHERE c IS NOT NULL""")
+def _(t):
+    done = blocks.framed(hot_numbered(t), ["k"], 0, 2, {"g": lambda w: F.collect_list("o_orderkey").over(w.rowsBetween(0, 2))}, block=1000)
+    groups = done.where(F.size("g") == 3)
+    return groups.select("k", F.col("g")[0].alias("a"), F.col("g")[1].alias("b"), F.col("g")[2].alias("c"))
+
+
 @query("wi11_aggregates", f"""
     SELECT o_orderkey, round(sum(o_totalprice) {OVER}, 2) AS total, round(avg(o_totalprice) {OVER}, 8) AS mean, min(o_totalprice) {OVER} AS low,
            max(o_totalprice) {OVER} AS high, count(*) {OVER} AS n, round(coalesce(stddev_pop(o_totalprice) {OVER}, 0), 3) AS dev FROM orders""")

@@ -47,13 +47,15 @@ def _(t):
 
 
 @query("wl03_inverted_index", """
-    SELECT word, string_agg(doc_id, ',' ORDER BY doc_id) AS documents, count(*) AS n FROM (
-        SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1""")
+    SELECT word, doc_id // 512 AS block, string_agg(doc_id, ',' ORDER BY doc_id) AS documents, count(*) AS n FROM (
+        SELECT DISTINCT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1, 2""")
 def _(t):
-    """Posting lists; distinct pairs first, so each list has at most one entry per document."""
+    """Posting lists in blocks of at most 512 documents: a word of every document has many short
+    lists, in many tasks, in place of one long list."""
     pairs = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
     postings = F.sort_array(F.collect_list("doc_id"))
-    return pairs.groupBy("word").agg(F.array_join(postings.cast("array<string>"), ",").alias("documents"), F.count("*").alias("n"))
+    return pairs.groupBy("word", F.expr("doc_id div 512").alias("block")).agg(
+        F.array_join(postings.cast("array<string>"), ",").alias("documents"), F.count("*").alias("n"))
 
 
 @query("wl04_term_vector", """
