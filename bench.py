@@ -45,11 +45,15 @@ def chained_maps(t: Tables) -> DataFrame:
 
 def chained_filters(t: Tables) -> DataFrame:
     df = t.spark.range(100_000_000)
-    for i in range(10):
-        df = df.where(F.col("id") % (i + 2) != 0)
+    for _ in range(10):
+        df = df.where("(id & 1) = 1")
     return df.agg(F.count("id"))
 
 
+def sum_100m(t: Tables) -> DataFrame:
+    return t.spark.range(100_000_000).agg(F.sum("id"))
+
+
 def sample_without_replacement(t: Tables) -> DataFrame:
     return t.spark.range(500 << 18).sample(False, 0.01, 1).agg(F.sum("id"))
 
@@ -62,8 +66,17 @@ def sort_25m(t: Tables) -> DataFrame:
     return t.spark.range(25_000_000).select(F.xxhash64("id").alias("k")).sort("k")
 
 
+def project_400_columns(t: Tables) -> DataFrame:
+    return t.spark.range(1 << 20).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(400)])
+
+
+def array_column(t: Tables) -> DataFrame:
+    return t.spark.range(1 << 22).select(F.sequence("id", F.col("id") + 20).alias("a"))
+
+
 ENGINE = {f.__name__: f for f in (
-    range_filter_sum, range_limit_sum, chained_maps, chained_filters, sample_without_replacement, sample_with_replacement, sort_25m)}
+    range_filter_sum, range_limit_sum, chained_maps, chained_filters, sum_100m, sample_without_replacement, sample_with_replacement,
+    sort_25m, project_400_columns, array_column)}
 
 # a pipeline without ids, with ids and costs, and with its latencies read: the price of capture
 CAPTURE = {

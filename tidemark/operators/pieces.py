@@ -33,7 +33,7 @@ def map_groups(
     """
     pieces = with_pieces(df, key, row, max_rows)
 
-    def run(_, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return partial(rows.drop(columns="piece"))
 
     done = pieces.groupBy(key, "piece").applyInPandas(run, schema)

@@ -12,7 +12,7 @@ from tidemark.plans.streams import WORD_COUNT, word_counts
 from tidemark.registry import query
 from tidemark.session import scratch
 from tidemark.streaming.runner import (
-    file_stream, run_append, run_batches, run_complete, run_steps, to_batches, to_files,
+    file_stream, run_append, run_batches, run_complete, run_steps, time_steps, to_batches, to_files,
 )
 from tidemark.streaming.state import running_totals, sessions
 
@@ -141,15 +141,23 @@ def _(t):
 
 @query("st11_map_with_state", "SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def _(t):
-    emitted = run_append(running_totals(file_stream(t, "events"), "user_id", "value"))
-    latest = emitted.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "n").alias("v"))
-    return latest.select("user_id", "v.n", F.round("v.total", 4).alias("total"))
+    """State per user and salt, so that one busy user's rows are shared by several tasks."""
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(8)).cast("int").alias("salt")
+    salted = file_stream(t, "events").select("user_id", salt, "value")
+    emitted = run_append(running_totals(salted, ["user_id", "salt"], "value"))
+    latest = emitted.groupBy("user_id", "salt").agg(F.max_by(F.struct("n", "total"), "n").alias("v"))
+    return latest.groupBy("user_id").agg(F.sum("v.n").alias("n"), F.round(F.sum("v.total"), 4).alias("total"))
 
 
 @query("st11_state_timeout")
 def _(t):
-    stream = file_stream(t, "events", parts=6, order="ts").withWatermark("ts", "1 hour")
-    return run_append(sessions(stream, "user_id", "ts", 24 * 60))
+    out = scratch(t.spark, "sessions")
+
+    def start(stream, checkpoint):
+        return to_files(sessions(stream.withWatermark("ts", "1 hour"), "user_id", "ts", 12 * 60), out, checkpoint)
+
+    run_steps(time_steps(t.events_ts.select("user_id", "ts"), "ts", 6), start)
+    return t.spark.read.parquet(out)
 
 
 @query("st12_state_snapshot", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -12,7 +12,7 @@ from tidemark.registry import query
 from tidemark.session import scratch
 from tidemark.sources.rows import TextFileWriter
 from tidemark.streaming.runner import (
-    batch_files, file_stream, run_append, run_complete, run_steps, run_update, to_batches, to_files,
+    batch_files, file_stream, run_append, run_complete, run_steps, run_update, time_steps, to_batches, to_files,
 )
 
 COUNTS = "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"
@@ -28,7 +28,7 @@ def rounded(df):
 
 @query("ss01_file_source", "SELECT event_id, user_id, event_type FROM events")
 def _(t):
-    path = batch_files(t, t.events_ts, 6)
+    path, _ = batch_files(t.events_ts, 6)
     stream = t.spark.readStream.schema(t.events_ts.schema).options(
         maxFilesPerTrigger=2, latestFirst=True, maxFileAge="30d").parquet(path)
     return run_append(stream.select("event_id", "user_id", "event_type"))
@@ -104,9 +104,14 @@ HOURLY = "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS sta
     SELECT start, event_type, n FROM ({HOURLY}) WHERE start + INTERVAL 1 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 10 MINUTE""")
 def _(t):
     """Append mode gives a window once, when the watermark has passed its end."""
-    stream = file_stream(t, "events", order="ts").withWatermark("ts", "10 minutes")
-    windows = stream.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    done = run_append(windows.select("w.start", "event_type", "n"))
+    out = scratch(t.spark, "windows")
+
+    def start(stream, checkpoint):
+        windows = stream.withWatermark("ts", "10 minutes").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+        return to_files(windows.select("w.start", "event_type", "n"), out, checkpoint)
+
+    run_steps(time_steps(t.events_ts.select("ts", "event_type"), "ts", 4), start)
+    done = t.spark.read.schema("start timestamp, event_type string, n bigint").parquet(out)
     return done.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

@@ -9,19 +9,35 @@ from tidemark.session import scratch
 from tidemark.tables import Tables
 
 
-def batch_files(t: Tables, df: DataFrame, parts: int = 4, order: str | None = None) -> str:
-    """Write ``df`` as ``parts`` files, one per micro-batch to come; in time order if asked."""
-    path = scratch(t.spark, "stream-input")
-    cut = df.repartition(parts) if order is None else df.repartitionByRange(parts, order).sortWithinPartitions(order)
-    cut.write.parquet(path)
-    return path
+ROWS_PER_FILE = 1_000_000
 
 
-def file_stream(t: Tables, name: str, parts: int = 4, order: str | None = None) -> DataFrame:
-    """A table as a stream, one file per trigger. ``events.ts`` becomes an instant."""
+def batch_files(df: DataFrame, batches: int = 4) -> tuple[str, int]:
+    """Write ``df`` as files for ``batches`` micro-batches; returns the folder and files per batch.
+
+    The number of files follows the number of rows, so a micro-batch is read by many tasks.
+    """
+    path = scratch(df.sparkSession, "stream-input")
+    width = df.count() // (batches * ROWS_PER_FILE) + 1
+    df.repartition(batches * width).write.parquet(path)
+    return path, width
+
+
+def file_stream(t: Tables, name: str, batches: int = 4) -> DataFrame:
+    """A table as a stream of about ``batches`` micro-batches. ``events.ts`` becomes an instant."""
     df = t.events_ts if name == "events" else getattr(t, name)
-    path = batch_files(t, df, parts, order)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, width = batch_files(df, batches)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", width).parquet(path)
+
+
+def time_steps(df: DataFrame, column: str, steps: int) -> list[DataFrame]:
+    """``df`` cut into ``steps`` spans of equal time, earliest first, for ``run_steps``."""
+    low, high = df.agg(F.min(F.unix_micros(column)), F.max(F.unix_micros(column))).first()
+    micros = F.unix_micros(column)
+    edges = [low + (high - low) * i // steps for i in range(1, steps)]
+    parts = [df.where(micros < edges[0])]
+    parts += [df.where((micros >= a) & (micros < b)) for a, b in zip(edges, edges[1:])]
+    return [*parts, df.where(micros >= edges[-1])]
 
 
 def run_append(stream: DataFrame, checkpoint: str | None = None, out: str | None = None) -> DataFrame:

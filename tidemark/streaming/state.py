@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Emit (key, n, total) for every key of a batch, with all that was seen before.
+def running_totals(stream: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Emit (keys, n, total) for every key of a batch, with all that was seen before.
 
-    Sums do not depend on the order of rows or of the chunks a group arrives in.
+    Sums do not depend on the order of rows or of the chunks a group arrives in. Add a salt to
+    ``keys`` where one key may hold a large share of the stream, and sum over it when reading.
     """
-    def update(key_: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def update(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total = state.get if state.exists else (0, 0.0)
         for chunk in chunks:
             n, total = n + len(chunk), total + float(chunk[value].sum())
         state.update((n, total))
-        yield pd.DataFrame({key: [key_[0]], "n": [n], "total": [total]})
+        yield pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "n": [n], "total": [total]})
 
-    return stream.select(key, value).groupBy(key).applyInPandasWithState(
-        update, f"{key} bigint, n bigint, total double", "n bigint, total double", "append",
+    named = ", ".join(f"{k} {dict(stream.dtypes)[k]}" for k in keys)
+    return stream.select(*keys, value).groupBy(*keys).applyInPandasWithState(
+        update, f"{named}, n bigint, total double", "n bigint, total double", "append",
         GroupStateTimeout.NoTimeout,
     )
 
