@@ -130,8 +130,8 @@ def impurities(df: DataFrame, node: str, label: str) -> DataFrame:
         node, "total", (1 - F.col("q") / (t * t)).alias("gini"), (F.log2(t) - F.col("l") / t).alias("entropy"))
 
 
-def frequent_pairs(baskets: DataFrame, basket: str, item: str, least: int) -> DataFrame:
-    """Pairs of items bought together at least ``least`` times, by FP-growth on frequent items.
+def frequent_pairs(baskets: DataFrame, basket: str, item: str, share: float) -> DataFrame:
+    """Pairs of items that at least ``share`` of the baskets hold, by FP-growth on frequent items.
 
     Returns (a, b, n) with a < b. Infrequent items are dropped first; baskets are conditioned by
     Spark's parallel FP-growth, so a basket's pairs are never written out.
@@ -139,11 +139,13 @@ def frequent_pairs(baskets: DataFrame, basket: str, item: str, least: int) -> Da
     from pyspark.ml.fpm import FPGrowth
 
     items = baskets.select(basket, item).distinct()
+    total = items.agg(F.countDistinct(basket)).first()[0]
+    least = share * total
     frequent = items.groupBy(item).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(item)
     lists = items.join(frequent, item).groupBy(basket).agg(F.collect_set(item).alias("items"))
-    total = max(1, lists.count())
-    model = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / total), minConfidence=0.0).fit(lists)
-    pairs = model.freqItemsets.where(F.size("items") == 2)
+    kept = max(1, lists.count())  # baskets that still hold an item
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / kept)), minConfidence=0.0).fit(lists)
+    pairs = model.freqItemsets.where((F.size("items") == 2) & (F.col("freq") >= least))
     sorted_items = F.array_sort("items")
     return pairs.select(sorted_items[0].alias("a"), sorted_items[1].alias("b"), F.col("freq").alias("n"))
 

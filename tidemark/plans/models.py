@@ -269,19 +269,20 @@ def baskets(t):
 
 
 @query("mo25_fp_growth", f"""
-    SELECT x.i AS a, y.i AS b, count(*) AS n FROM {BASKETS} AS x JOIN {BASKETS} AS y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 300""")
+    SELECT x.i AS a, y.i AS b, count(*) AS n FROM {BASKETS} AS x JOIN {BASKETS} AS y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2
+    HAVING count(*) >= 0.2 * (SELECT count(DISTINCT b) FROM {BASKETS})""")
 def _(t):
-    return training.frequent_pairs(baskets(t), "b", "i", 300)
+    return training.frequent_pairs(baskets(t), "b", "i", 0.2)
 
 
 @query("mo26_association_rules", f"""
     WITH s AS (SELECT i, count(*) AS n FROM {BASKETS} GROUP BY 1),
     p AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM {BASKETS} AS x JOIN {BASKETS} AS y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2)
-    SELECT a, b, round(p.n / s.n, 9) AS confidence FROM p JOIN s ON s.i = a WHERE p.n >= 300 AND p.n / s.n >= 0.5""")
+    SELECT a, b, round(p.n / s.n, 9) AS confidence FROM p JOIN s ON s.i = a WHERE p.n >= 0.2 * (SELECT count(DISTINCT b) FROM {BASKETS}) AND p.n / s.n >= 0.5""")
 def _(t):
     items = baskets(t).distinct()
     single = items.groupBy(F.col("i").alias("a")).agg(F.count("*").alias("one"))
-    pairs = training.frequent_pairs(items, "b", "i", 300)
+    pairs = training.frequent_pairs(items, "b", "i", 0.2)
     both = pairs.union(pairs.select("b", "a", "n"))
     return both.join(single, "a").select("a", "b", F.round(F.col("n") / F.col("one"), 9).alias("confidence")).where("confidence >= 0.5")
 
