@@ -45,11 +45,11 @@ def main(args: list[str]) -> int:
             else:
                 problem, note = difference(df, con, q.sql), "ok"
         except Exception as e:  # report and go on
-            problem = f"{type(e).__name__}: {str(e)[:700]}"
+            problem = f"{type(e).__name__}: {str(e)[:3000]}"
         seconds = time.perf_counter() - began
         if problem:
             bad += 1
-            print(f"FAIL {name} {seconds:.1f}s {problem[:1200]}", flush=True)
+            print(f"FAIL {name} {seconds:.1f}s {problem[:4000]}", flush=True)
         elif seconds > 4 or q.sql is None:
             print(f"ok   {name} {seconds:.1f}s {note}", flush=True)
     print(f"{ran} queries, {bad} bad")

@@ -21,6 +21,7 @@ class Trace:
 
     root: LineageFrame
     at: tuple[tuple[LineageFrame, DataFrame], ...]
+    whole: bool = False  # all records of the step: nothing to restrict
 
     def ids(self, source: str | None = None) -> DataFrame:
         for frame, ids in self.at:
@@ -38,9 +39,11 @@ class Trace:
                 picked.schema  # resolves the condition
             except AnalysisException:
                 rows = frame.df.withColumnRenamed(ID, "id")
-                picked = rows.where(text).select("id").join(ids, "id", "left_semi")
+                picked = rows.where(text).select("id")
+                if not self.whole:
+                    picked = picked.join(ids, "id", "left_semi")
             kept.append((frame, picked))
-        return replace(self, at=tuple(kept))
+        return replace(self, at=tuple(kept), whole=False)
 
     def go_back(self) -> Trace:
         """The distinct inputs of the traced records, one step up."""
@@ -57,7 +60,7 @@ class Trace:
                         ids.withColumnRenamed("id", "out_id"), "out_id", "left_semi"
                     ).select(F.col("in_id").alias("id"))
                 found.append((parent, inputs.distinct()))
-        return replace(self, at=_merged(found))
+        return replace(self, at=_merged(found), whole=False)
 
     def go_next(self) -> Trace:
         """All records, one step down, that any traced record contributed to."""
@@ -75,7 +78,7 @@ class Trace:
                     ids.withColumnRenamed("id", "in_id"), "in_id", "left_semi"
                 ).select(F.col("out_id").alias("id"))
                 found.append((child, outputs.distinct()))
-        return replace(self, at=_merged(found))
+        return replace(self, at=_merged(found), whole=False)
 
     def back_to_sources(self) -> Trace:
         """Repeat ``go_back`` over the fixed depth of the pipeline."""
@@ -95,7 +98,7 @@ class Trace:
     def resume(self, shown: DataFrame) -> Trace:
         """Go on tracing from a subset of what ``show`` returned."""
         frame, _ = self.at[0]
-        return replace(self, at=((frame, shown.select("id").distinct()),))
+        return replace(self, at=((frame, shown.select("id").distinct()),), whole=False)
 
     def replay(self) -> LineageFrame:
         """Run the pipeline again on the traced source records only."""
@@ -113,7 +116,7 @@ class Trace:
 
 def trace(frame: LineageFrame) -> Trace:
     """Start at the final records of a pipeline."""
-    return Trace(frame, ((frame, frame.ids()),))
+    return Trace(frame, ((frame, frame.ids()),), whole=True)
 
 
 def input_ids(frame: LineageFrame, side: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.registry import query
 from tidemark.session import scratch, setting, shuffle_partitions
 from tidemark.sources.files import round_trip, saved_table, table_name, without_header_and_footer
-from tidemark.sources.jdbc import bound_predicates
+from tidemark.sources.jdbc import bound_predicates, closed_ranges
 from tidemark.sources.rowgroups import RowGroupSource
 from tidemark.sources.rows import TextFileWriter, write_rows
 
@@ -95,6 +95,18 @@ def _(t):
     return reduce(DataFrame.union, parts).where("n > 0")
 
 
+@query("sc10_query_ranges", """
+    SELECT CASE WHEN o_custkey < 130 THEN 0 WHEN o_custkey < 160 THEN 1 ELSE 2 END AS part, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys
+    FROM orders WHERE o_custkey BETWEEN 100 AND 190 GROUP BY 1""")
+def _(t):
+    """The closed bounds of a query read in ranges; rows outside the bounds are left out."""
+    parts = [
+        t.orders.where(p).agg(F.lit(i).alias("part"), F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+        for i, p in enumerate(closed_ranges("o_custkey", 100, 190, 3))
+    ]
+    return reduce(DataFrame.union, parts).where("n > 0")
+
+
 @query("sc11_sequence_file", "SELECT o_orderkey AS k, o_orderstatus AS v FROM orders")
 def _(t):
     path = scratch(t.spark, "sequence")

@@ -25,11 +25,16 @@ def read_table(
     )
 
 
+def closed_ranges(column: str, low: int, high: int, parts: int) -> list[str]:
+    """Disjoint closed ranges that cover low..high; rows outside the bounds are not read."""
+    size = high - low + 1
+    edges = [low + size * i // parts for i in range(parts + 1)]
+    return [f"{column} >= {a} AND {column} <= {b - 1}" for a, b in zip(edges, edges[1:]) if b > a]
+
+
 def read_query(
     spark: SparkSession, url: str, sql: str, column: str, low: int, high: int, parts: int, **properties: str
 ) -> DataFrame:
     """A query split by closed bounds on ``column``: one subquery per range."""
-    size = high - low + 1
-    edges = [low + size * i // parts for i in range(parts + 1)]
-    ranges = [f"{column} >= {a} AND {column} <= {b - 1}" for a, b in zip(edges, edges[1:]) if b > a]
+    ranges = closed_ranges(column, low, high, parts)
     return spark.read.jdbc(url, f"({sql}) q", predicates=ranges, properties=properties)
