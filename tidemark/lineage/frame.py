@@ -157,7 +157,7 @@ class LineageFrame:
             F.col(TOTAL).alias("total_0"),
         )
         new = Stage(
-            stage, "flat_map", (self,), (_edge(rows, 0),), rows, (lambda c: c["src"],),
+            stage, "flat_map", (self,), (edge_of(rows, 0),), rows, structural_back("flat_map", 1),
             lambda f: f.flat_map(array, name, *columns, split=split, stage=stage),
         )
         plain = [c for c in made.columns if c not in (*HIDDEN, "_size", "_pos")]
@@ -203,8 +203,8 @@ class LineageFrame:
             F.col("_r").alias("in_1"), F.col("_rc").alias("lat_1"), F.col("_rt").alias("total_1"),
         )
         new = Stage(
-            stage, "join", (self, other), (_edge(rows, 0), _edge(rows, 1)), rows,
-            (lambda c: c["left"], lambda c: c["right"]),
+            stage, "join", (self, other), (edge_of(rows, 0), edge_of(rows, 1)), rows,
+            structural_back("join", 2),
             lambda a, b: a.join(b, on, how, stage),
         )
         hidden = ("_l", "_lc", "_lt", "_r", "_rc", "_rt", ID)
@@ -254,9 +254,8 @@ class LineageFrame:
             part = f.df.select(new_id.alias(ID), F.lit(0.0).alias(COST), TOTAL, *plain)
             out = part if out is None else out.unionByName(part)
             links.append(_edges_to(f.df, new_id))
-        back = tuple((lambda c, j=j: c[f"id_{j}"]) for j in range(len(frames)))
         new = Stage(
-            stage, "union", frames, tuple(links), None, back,
+            stage, "union", frames, tuple(links), None, structural_back("union", len(frames)),
             lambda a, *b: a.union(*b, stage=stage),
         )
         return LineageFrame(out, new)
@@ -318,7 +317,18 @@ class LineageFrame:
         return found
 
 
-def _edge(rows: DataFrame, i: int) -> DataFrame:
+def structural_back(kind: str, parents: int) -> tuple[Callable[[Column], Column], ...]:
+    """How to read each parent's id out of an output id; empty where only edges tell."""
+    if kind == "flat_map":
+        return (lambda c: c["src"],)
+    if kind == "join":
+        return (lambda c: c["left"], lambda c: c["right"])
+    if kind == "union":
+        return tuple((lambda c, j=j: c[f"id_{j}"]) for j in range(parents))
+    return ()
+
+
+def edge_of(rows: DataFrame, i: int) -> DataFrame:
     """One parent's edges from the side-by-side links."""
     return rows.where(F.col(f"in_{i}").isNotNull()).select(
         "out_id", F.col(f"in_{i}").alias("in_id"), F.col(f"lat_{i}").alias("latency"),

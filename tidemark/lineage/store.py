@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.lineage.frame import ID, LineageFrame, Stage
+from tidemark.lineage.frame import ID, LineageFrame, Stage, edge_of, structural_back
 from tidemark.lineage.trace import _frames
 
-_DAG = "app_id string, stage int, name string, kind string, parents array<int>, has_cost boolean"
+_DAG = "app_id string, stage int, name string, kind string, parents array<int>, has_cost boolean, wide boolean"
 
 
 def capped(records: DataFrame, limit: int, partition: Column, order: str = ID) -> DataFrame:
@@ -32,6 +32,7 @@ def save(root: LineageFrame, path: str, app_id: str) -> None:
     spark = root.df.sparkSession
     base = f"{path}/app_id={app_id}"
     done: dict[int, LineageFrame] = {}
+    wide: dict[int, bool] = {}
 
     def write(f: LineageFrame) -> LineageFrame:
         if id(f) not in done:
@@ -44,14 +45,18 @@ def save(root: LineageFrame, path: str, app_id: str) -> None:
                     frame = step(frame)
             records = f"{base}/stage={i}/records"
             frame.df.write.mode("overwrite").parquet(records)
-            for side, edges in enumerate(frame.inputs()):
-                edges.write.mode("overwrite").parquet(f"{base}/stage={i}/edges/side={side}")
+            wide[i] = frame.stage.rows is not None and not frame.filtered
+            if wide[i]:  # all sides at once, from one run of the join
+                frame.stage.rows.write.mode("overwrite").parquet(f"{base}/stage={i}/rows")
+            else:
+                for side, edges in enumerate(frame.inputs()):
+                    edges.write.mode("overwrite").parquet(f"{base}/stage={i}/edges/side={side}")
             done[id(f)] = replace(frame, df=spark.read.schema(frame.df.schema).parquet(records))
         return done[id(f)]
 
     write(root)
     rows = [
-        (app_id, i, f.stage.name, f.stage.kind, [numbers[id(p)] for p in f.stage.parents], f.has_cost)
+        (app_id, i, f.stage.name, f.stage.kind, [numbers[id(p)] for p in f.stage.parents], f.has_cost, wide[i])
         for i, f in enumerate(frames)
     ]
     spark.createDataFrame(rows, _DAG).coalesce(1).write.mode("overwrite").parquet(f"{base}/dag")
@@ -67,10 +72,12 @@ def load(spark: SparkSession, path: str, app_id: str) -> LineageFrame:
         if i not in built:
             r = dag[i]
             parents = tuple(build(p) for p in r.parents)
+            rows = spark.read.parquet(f"{base}/stage={i}/rows") if r.wide else None
             edges = tuple(
-                spark.read.parquet(f"{base}/stage={i}/edges/side={s}") for s in range(len(parents))
+                edge_of(rows, s) if r.wide else spark.read.parquet(f"{base}/stage={i}/edges/side={s}")
+                for s in range(len(parents))
             )
-            stage = Stage(r.name, r.kind, parents, edges)
+            stage = Stage(r.name, r.kind, parents, edges, rows, structural_back(r.kind, len(parents)))
             built[i] = LineageFrame(
                 spark.read.parquet(f"{base}/stage={i}/records"), stage, has_cost=r.has_cost
             )
