@@ -53,8 +53,10 @@ def _(t):
     """Posting lists in blocks of at most 512 documents: a word of every document has many short
     lists, in many tasks, in place of one long list."""
     pairs = t.documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).where("word <> ''")
+    # the pairs are distinct, so lists made before the shuffle would save nothing
+    placed = pairs.withColumn("block", F.expr("doc_id div 512")).repartition("word", "block")
     postings = F.sort_array(F.collect_list("doc_id"))
-    return pairs.groupBy("word", F.expr("doc_id div 512").alias("block")).agg(
+    return placed.groupBy("word", "block").agg(
         F.array_join(postings.cast("array<string>"), ",").alias("documents"), F.count("*").alias("n"))
 
 
