@@ -12,7 +12,7 @@ from tidemark.registry import query
 from tidemark.session import scratch
 from tidemark.sources.rows import TextFileWriter
 from tidemark.streaming.runner import (
-    batch_files, file_stream, run_append, run_complete, run_steps, run_update, time_steps, to_batches, to_files,
+    batch_files, file_stream, run_append, run_complete, run_steps, run_update, sized, time_steps, to_batches, to_files,
 )
 
 COUNTS = "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1"
@@ -57,8 +57,10 @@ def _(t):
 @query("ss07_memory_sink", COUNTS)
 def _(t):
     name = f"tidemark_{uuid.uuid4().hex}"
-    started = counts(file_stream(t, "events")).writeStream.format("memory").queryName(name).outputMode("complete").option(
-        "checkpointLocation", scratch(t.spark, "memory")).trigger(availableNow=True).start()
+    counted = counts(file_stream(t, "events"))
+    with sized(t.spark):
+        started = counted.writeStream.format("memory").queryName(name).outputMode("complete").option(
+            "checkpointLocation", scratch(t.spark, "memory")).trigger(availableNow=True).start()
     started.awaitTermination()
     return rounded(t.spark.table(name))
 
@@ -200,8 +202,10 @@ def _(t):
 
 @query("ss20_progress")
 def _(t):
-    started = counts(file_stream(t, "events")).writeStream.format("noop").outputMode("complete").option(
-        "checkpointLocation", scratch(t.spark, "progress")).trigger(availableNow=True).start()
+    counted = counts(file_stream(t, "events"))
+    with sized(t.spark):
+        started = counted.writeStream.format("noop").outputMode("complete").option(
+            "checkpointLocation", scratch(t.spark, "progress")).trigger(availableNow=True).start()
     started.awaitTermination()
     rows = [
         (p.batchId, p.numInputRows, float(p.processedRowsPerSecond), sum(s.numRowsTotal for s in p.stateOperators))

@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import scratch
+from tidemark.session import scratch, setting, shuffle_partitions
 from tidemark.tables import Tables
 
 
 ROWS_PER_FILE = 1_000_000
+ROWS_PER_STATE_PARTITION = 100_000
+
+_input_rows: dict[str, int] = {}  # rows of the input made last, per application
+
+
+@contextmanager
+def sized(spark: SparkSession):
+    """Start queries inside: their state gets no more partitions than the input needs.
+
+    A stream keeps the number it starts with and adaptive execution does not merge state
+    partitions, so hundreds of near-empty ones would be opened in every micro-batch. Large inputs
+    keep the session's number.
+    """
+    rows = _input_rows.get(spark.sparkContext.applicationId)
+    most = shuffle_partitions(spark)
+    wanted = most if rows is None else min(most, max(8, rows // ROWS_PER_STATE_PARTITION))
+    with setting(spark, "spark.sql.shuffle.partitions", str(wanted)):
+        yield
 
 
 def batch_files(df: DataFrame, batches: int = 4) -> tuple[str, int]:
@@ -18,7 +38,9 @@ def batch_files(df: DataFrame, batches: int = 4) -> tuple[str, int]:
     The number of files follows the number of rows, so a micro-batch is read by many tasks.
     """
     path = scratch(df.sparkSession, "stream-input")
-    width = df.count() // (batches * ROWS_PER_FILE) + 1
+    rows = df.count()
+    _input_rows[df.sparkSession.sparkContext.applicationId] = rows
+    width = rows // (batches * ROWS_PER_FILE) + 1
     df.repartition(batches * width).write.parquet(path)
     return path, width
 
@@ -44,11 +66,12 @@ def run_append(stream: DataFrame, checkpoint: str | None = None, out: str | None
     """Run to the end into an exactly-once file sink and read the sink back."""
     spark = stream.sparkSession
     out = out or scratch(spark, "stream-output")
-    started = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
+    with sized(spark):
+        started = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint"))
+            .trigger(availableNow=True).start()
+        )
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
@@ -68,11 +91,12 @@ def run_complete(stream: DataFrame, checkpoint: str | None = None) -> DataFrame:
         batch.write.mode("overwrite").parquet(path)
         last["path"] = path
 
-    started = (
-        stream.writeStream.foreachBatch(write).outputMode("complete")
-        .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
+    with sized(spark):
+        started = (
+            stream.writeStream.foreachBatch(write).outputMode("complete")
+            .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint"))
+            .trigger(availableNow=True).start()
+        )
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(last["path"])
 
@@ -85,11 +109,12 @@ def run_update(stream: DataFrame, keys: list[str], checkpoint: str | None = None
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b{number}")
 
-    started = (
-        stream.writeStream.foreachBatch(write).outputMode("update")
-        .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
+    with sized(spark):
+        started = (
+            stream.writeStream.foreachBatch(write).outputMode("update")
+            .option("checkpointLocation", checkpoint or scratch(spark, "stream-checkpoint"))
+            .trigger(availableNow=True).start()
+        )
     started.awaitTermination()
     versions = spark.read.parquet(f"{out}/*")
     rest = [c for c in stream.columns if c not in keys]
@@ -105,11 +130,12 @@ def run_batches(stream: DataFrame, each, schema: str) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         each(batch, number).write.mode("overwrite").parquet(f"{out}/b{number}")
 
-    started = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", scratch(spark, "stream-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
+    with sized(spark):
+        started = (
+            stream.writeStream.foreachBatch(write)
+            .option("checkpointLocation", scratch(spark, "stream-checkpoint"))
+            .trigger(availableNow=True).start()
+        )
     started.awaitTermination()
     return spark.read.schema(schema).parquet(f"{out}/*")
 
@@ -124,6 +150,7 @@ def run_steps(parts: list[DataFrame], start, label: str = "steps") -> str:
     """
     spark = parts[0].sparkSession
     source, checkpoint = scratch(spark, f"{label}-input"), scratch(spark, f"{label}-checkpoint")
+    _input_rows[spark.sparkContext.applicationId] = sum(p.count() for p in parts)
     for part in parts:
         part.write.mode("append").parquet(source)
         stream = spark.readStream.schema(part.schema).parquet(source)
@@ -133,14 +160,17 @@ def run_steps(parts: list[DataFrame], start, label: str = "steps") -> str:
 
 def to_files(stream: DataFrame, out: str, checkpoint: str):
     """Start an append query into an exactly-once file sink."""
-    return (
-        stream.writeStream.format("parquet").outputMode("append").option("path", out)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    with sized(stream.sparkSession):
+        return (
+            stream.writeStream.format("parquet").outputMode("append").option("path", out)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
 
 
 def to_batches(stream: DataFrame, write, checkpoint: str, mode: str = "append"):
-    return (
-        stream.writeStream.foreachBatch(write).outputMode(mode)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    """Start a query that gives every micro-batch to ``write(batch, number)``."""
+    with sized(stream.sparkSession):
+        return (
+            stream.writeStream.foreachBatch(write).outputMode(mode)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        )
