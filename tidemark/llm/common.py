@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,20 @@ def column_like(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``text`` compressed, as ``z``, for exchanges in which whole texts meet what was found in them."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = pa.array([squeeze.compress(t) for t in binary_column(batch, "text")], pa.binary())
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, pa.field("z", pa.binary()), z)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return docs.select(*[c for c in docs.columns if c != "text"], "text").mapInArrow(run, f"{kinds}, z binary")
+
+
 class Bits:
     """A bitmap with a rank directory: the ones before each 64-bit word are stored, the rest is one popcount."""
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import binary_column, column_like, flat_column, pieces
+from tidemark.llm.common import column_like, flat_column, packed, pieces
 from tidemark.session import stored
 
 WINDOW, GRAM = 200, 48
@@ -218,24 +218,10 @@ def _spread(fetched: DataFrame) -> DataFrame:
     return each.join(twice, "w").select("doc", "text_hash", (start + F.col("i")).alias("start"), (start + F.col("i") + WINDOW).alias("stop"))
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """Texts compressed, for the exchanges in which they meet their spans."""
-
-    def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            z = pa.array([squeeze.compress(t) for t in binary_column(batch, "text")], pa.binary())
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, pa.field("z", pa.binary()), z)
-
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.select(*[c for c in docs.columns if c != "text"], "text").mapInArrow(run, f"{kinds}, z binary")
-
-
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of ``wanted`` runs (doc, text_hash, at, key), cut out of their texts."""
     asked = wanted.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "at", "many")).alias("asked"))  # as many as the text has
-    joined = _packed(docs).join(asked, ["doc", "text_hash"])
+    joined = packed(docs).join(asked, ["doc", "text_hash"])
 
     def run(batches):
         out = zstandard.ZstdDecompressor()
@@ -281,7 +267,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     own = base.drop("doc_id")
     spans = repeated_spans(own).groupBy("doc", "text_hash").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # as many as the text has
-    joined = _packed(base).join(spans, ["doc", "text_hash"], "left")
+    joined = packed(base).join(spans, ["doc", "text_hash"], "left")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
