@@ -1,0 +1,381 @@
+"""The training-data operators against brute force, on small tables with nulls, empty texts, copies and extra columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tidemark.llm import (
+    archives, contamination, jaccard, language_model, mixing, quality_net, repeats, risk_rules, sharding, token_codes)
+from tidemark.llm.common import Bits
+from tidemark.llm.queries import tokenizer_file
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, score double, spans string"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text: str) -> str:
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdeéñ", k=rng.randint(1, 7))) for _ in range(300)]
+    texts = [" ".join(rng.choices(vocabulary, k=rng.choice([3, 40, 120, 300]))) for _ in range(50)]
+    near = texts[1].split(" ")
+    near[len(near) // 2] = "Changed"
+    texts += [texts[0], texts[0], " ".join(near), texts[2] + " " + texts[3], None, "", "  \n ", "one", "x " * 3000, "#*$ " * 100, texts[4] * 40]
+    found = [(i, t, rng.choice(["en", "fr", None]), rng.choice(["s0", "s1", None]), None, 1, 0.5, "x") for i, t in enumerate(texts)]
+    return [*found, (None, texts[5], "en", "s0", None, 1, 0.5, "x"), found[7]]  # a null id, a row that stands twice
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark, rows):
+    return spark.createDataFrame([(r[0], int(r[0] is not None and r[0] % 7 != 0), 0) for r in rows], "doc_id bigint, quality int, toxic int")
+
+
+def counted(rows) -> Counter:
+    return Counter(tuple(r) for r in rows)
+
+
+def test_mixing_meets_the_budget(docs, empty):
+    found = mixing.mix(docs, ["lang", "source"], 0.8, {"lang": {"fr": 3.0}}, max_epochs=2).collect()
+    assert len(found) == docs.count()
+    leaves: dict = {}
+    for r in found:
+        words = len(WORDS.findall(next(x["text"] or "" for x in [r.asDict() | {"text": None}])))
+        assert words == 0 and r["n_tokens"] >= 0
+        leaf = leaves.setdefault((r["lang"], r["source"]), [r["leaf_budget"], 0, r["leaf_tokens"]])
+        leaf[1] += r["n_tokens"] * r["epochs"] + r["prefix"]
+    assert all(budget == taken and budget <= 2 * tokens for budget, taken, tokens in leaves.values())
+    total, granted = sum(x[2] for x in leaves.values()), sum(x[0] for x in leaves.values())
+    assert 0 <= int(total * 0.8) - granted < 20
+    assert mixing.mix(empty, ["lang", "source"], 0.8).count() == 0
+
+
+def test_water_fill_passes_shortages_to_siblings(spark):
+    rows = [("a", "x", 1.0, 10, 100), ("a", "y", 1.0, 1000, 100), ("b", "z", 2.0, 5, 50)]
+    found = mixing.water_fill(spark.createDataFrame(rows, "p string, n string, weight double, capacity bigint, budget bigint"), ["p"])
+    assert {r["n"]: r["granted"] for r in found.collect()} == {"x": 10, "y": 90, "z": 5}
+
+
+def test_quality_net_learns_and_scores_whole_texts(docs, labels, empty):
+    rng = random.Random(1)
+    good = [(" ".join(rng.choices(["tree", "house", "river"], k=200))).encode() for _ in range(60)]
+    bad = [(" ".join(rng.choices(["###", "$$$", "tree"], k=200))).encode() for _ in range(60)]
+    y = np.array([1] * 60 + [0] * 60, np.float32)
+    net = quality_net.train(good + bad, y, np.ones(120, np.float32), epochs=6)
+    joined = np.frombuffer(b"".join(good + bad), np.uint8)
+    p = quality_net.scores(net, joined, np.concatenate([[0], np.cumsum([len(t) for t in good + bad])]))
+    assert ((p > 0.5) == (y == 1)).mean() > 0.95
+    junk_at_the_end = good[0] * 30 + b"### $$$ " * 2000
+    both = quality_net.scores(net, np.frombuffer(junk_at_the_end, np.uint8), np.array([0, len(junk_at_the_end)]))
+    assert both[0] < p[0]
+    found = quality_net.classify(docs, labels).collect()
+    assert len(found) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found)
+    assert quality_net.classify(empty, labels).count() == 0
+
+
+def test_quality_net_gradients():
+    rng = np.random.default_rng(0)
+    texts = [bytes(rng.integers(97, 120, n).tolist()) for n in (5, 300, 900)]
+    net = quality_net.Net.new(1)
+    for f in ("embedding", "early", "late", "bias", "unit", "offset"):
+        setattr(net, f, getattr(net, f).astype(np.float64))
+    rows, first = quality_net.halves(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    y, w = np.array([1.0, 0.0, 1.0]), np.ones(3)
+    _, slopes = quality_net.gradients(net, rows, first, y, w)
+    for p, g in zip(net.parameters(), slopes):
+        at = np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, step = p[at], 1e-6
+        p[at] = kept + step
+        up = quality_net.gradients(net, rows, first, y, w)[0]
+        p[at] = kept - step
+        down = quality_net.gradients(net, rows, first, y, w)[0]
+        p[at] = kept
+        assert abs((up - down) / (2 * step) - g[at]) < 1e-3 * max(1, abs(g[at]))
+
+
+PAGES = "page_id bigint, url string, html string, extra int"
+
+
+def test_archives_round_trip(spark):
+    rows = [(1, "http://a/ b", "<p>WARC/1.0\r\n\r\né</p>", 0), (2, None, "same", 0), (9, "http://c", "same", 0), (3, "http://d", None, 0), (None, "http://e", "same", 0),
+            (4, "http://f", "", 0), (9, "http://c", "same", 0), (5, "http://g", "a" * 100_000, 0)]
+    found = archives.resolved(archives.convert(spark.createDataFrame(rows, PAGES).repartition(3))).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        payload = next((x[2] or "").encode() for x in rows if x[0] == r["page_id"])
+        assert r["payload_bytes"] == len(payload) and r["payload_digest"] == archives.base32_sha1(payload)
+    of = Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in found)
+    assert of == Counter([(1, "response", None), (2, "revisit", 9), (9, "response", None), (9, "revisit", 9), (None, "revisit", 9), (3, "revisit", 4), (4, "response", None), (5, "response", None)])
+    assert archives.convert(spark.createDataFrame([], PAGES)).count() == 0
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_arc_lines_of_both_versions(version):
+    import io
+
+    body = archives.http_response(b"hello\n\nworld", 7) + b"hello\n\nworld"
+    data = archives.version_block(version, b"x.arc") + b"\n" + archives.arc_record(version, b"x.arc", 99, b"http://h", body) + b"\n"
+    records = list(archives.read_lines(io.BytesIO(data), "x"))
+    assert len(records) == 2 and records[1][2] == body and archives.split_http(body)[1] == b"hello\n\nworld"
+    with pytest.raises(ValueError):
+        list(archives.read_lines(io.BytesIO(data[:-9]), "x"))
+
+
+def test_repeats(docs, rows, empty, monkeypatch):
+    starts: Counter = Counter()
+    for r in rows:
+        t = (r[1] or "").encode()
+        starts.update(t[i:i + 200] for i in range(len(t) - 199))
+
+    def expected(doc_id, text):
+        t = (text or "").encode()
+        gone = np.zeros(len(t) + 1, bool)
+        for i in range(len(t) - 199):
+            if starts[t[i:i + 200]] > 1:
+                gone[i:i + 200] = True
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        spans = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        return doc_id, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+
+    wanted = counted(expected(r[0], r[1]) for r in rows)
+    assert counted(repeats.report(docs).collect()) == wanted
+    assert repeats.report(empty).count() == 0
+    own = repeats.repeated_spans
+    monkeypatch.setattr(repeats, "repeated_spans", lambda d: own(d, group_runs=0))  # every digit cut up by windows
+    assert counted(repeats.report(docs).collect()) == wanted
+
+
+def test_repeats_in_parts(monkeypatch):
+    data = np.random.default_rng(2).integers(97, 100, 5000).astype(np.uint8)
+    monkeypatch.setattr(repeats, "POSITION_BITS", 10)
+    covered = np.zeros(len(data), int)
+    for shift, part, inner in repeats._parts(data, np.array([0, len(data)])):
+        _, start, windows, _, _ = repeats.runs(part, inner)
+        for s, w in zip(start, windows):
+            covered[shift + s:shift + s + w] += 1
+    assert (covered[:len(data) - 199] == 1).all() and not covered[len(data) - 199:].any()
+
+
+def test_sharding(docs, rows, empty):
+    found = sharding.document_shards(docs, 7).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in found) == Counter((r[0], len((r[1] or "").encode()) + 8, zlib.crc32((r[1] or "").encode())) for r in rows)
+    slots = {s: sorted(r["slot"] for r in found if r["shard"] == s) for s in range(7)}
+    assert all(v == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    assert sharding.document_shards(empty, 7).count() == 0
+
+
+def test_hypergeometric_beyond_the_limit():
+    exact, window = np.random.default_rng(1), np.random.default_rng(2)
+    a = [exact.hypergeometric(300, 700, 200) for _ in range(4000)]
+    b = [sharding.hypergeometric(window, 300, 700, 200, limit=1) for _ in range(4000)]
+    assert abs(np.mean(a) - np.mean(b)) < 0.5 and abs(np.std(a) - np.std(b)) < 0.4
+    m = sharding.communication_matrix([5, 0, 9], [7, 7], 3, limit=1)
+    assert m.sum(axis=1).tolist() == [5, 0, 9] and m.sum(axis=0).tolist() == [7, 7]
+
+
+def test_contamination(spark, docs, rows, empty):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    texts = {r[0]: r[1] or "" for r in rows}
+    items = [(1, " ".join(texts[2].split()[:30])), (20, "ONE"), (3, None), (None, " ".join(texts[6].split()[5:16])), (1, "never anywhere at all"), (5, "")]
+    windows: dict = {}
+    for name, text in items:
+        w = pattern.findall(lower(text or ""))
+        for i in range(max(1, len(w) - 9) if w else 0):
+            windows.setdefault(tuple(w[i:i + 10]), set()).add("" if name is None else str(name))
+
+    def expected(doc_id, text):
+        w, hit, names = pattern.findall(lower(text or "")), set(), set()
+        for n in {len(k) for k in windows}:
+            for i in range(len(w) - n + 1):
+                if (k := tuple(w[i:i + n])) in windows:
+                    hit.update(range(i, i + n))
+                    names |= windows[k]
+        return doc_id, len(w), len(hit), len(names), contamination.digest_of(list(names)), bool(hit)
+
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    assert counted(contamination.report(docs, table).collect()) == counted(expected(r[0], r[1]) for r in rows)
+    assert contamination.report(empty, table).count() == 0
+    assert not any(r["contaminated"] for r in contamination.report(docs, table.limit(0)).collect())
+    with pytest.raises(ValueError):
+        contamination.collect_phrases(table, limit=3)
+
+
+def test_fm_index():
+    rng = np.random.default_rng(4)
+    sequence = np.concatenate([[0], rng.integers(1, 4, 400), [0], rng.integers(1, 4, 300), [0]])
+    index = contamination.FmIndex(sequence)
+    phrases = [sequence[i:i + n] for i, n in ((5, 3), (100, 6), (420, 2), (50, 1))] + [np.array([3, 9])]
+    table = np.zeros((5, 6), np.int64)
+    for row, p in enumerate(phrases):
+        table[row, :len(p)] = p
+    low, high = index.search(table, np.array([len(p) for p in phrases]))
+    for p, a, b in zip(phrases, low, high):
+        wanted = [i for i in range(len(sequence)) if sequence[i:i + len(p)].tolist() == p.tolist()]
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == wanted
+
+
+def test_language_model(docs, rows, empty):
+    from tidemark.llm.common import fold
+
+    held = {r["doc_id"]: r["h"] for r in docs.select("doc_id", (fold("doc_id") == 1).alias("h")).collect()}
+    tokens = [(r[0], [*WORDS.findall(lower(r[1] or "")), "\n"]) for r in rows]
+    counts = Counter(t for d, ts in tokens if not held[d] for t in ts)
+    n, v = sum(counts.values()), len(counts)
+    found = language_model.score_documents(docs).collect()
+    wanted = Counter((d, held[d], len(ts), sum(counts[t] > 0 for t in ts), n, round(sum(np.log10((counts[t] + 0.5) / (n + 0.5 * (v + 1))) for t in ts), 6)) for d, ts in tokens)
+    assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == wanted
+    assert all(r["score"] < 0 for r in found)
+    assert language_model.score_documents(empty).count() == 0
+
+
+def test_language_model_is_a_distribution():
+    rng = np.random.default_rng(0)
+    words = [b"the", b"tree", b"house", b"\n", b"unseen"]
+    customers = np.array([50, 7, 1, 9, 0])
+    keys, starts = language_model.spelled(words)
+    spelling = language_model.seat_spelling(*np.unique(keys, return_counts=True), language_model.Spelling.uniform(), rng)
+    for context in (0, 256 * 257 + 256, 256 * 257 + ord("t")):
+        total = spelling.of(context * 257 + np.arange(257)).sum()
+        assert abs(total - 1) < 1e-9
+    model = language_model.Model(int(customers.sum()), 0.5, 1.0, 1, [])
+    sample = language_model.Sample(0, spelling, 4)
+    tables, p = model.seated(sample, customers, keys, starts, (0, 0))
+    assert ((tables >= 1) == (customers > 0)).all() and (tables <= customers).all()
+    sample.tables, sample.known = int(tables.sum()), float(p[:4].sum())
+    model.samples.append(sample)
+    assert abs((10 ** model.log10(words, customers, (0, 0))).sum() - 1) < 1e-9
+
+
+def test_jaccard(docs, rows, empty):
+    def shingles(text):
+        w = WORDS.findall(lower(text or ""))
+        return frozenset(tuple(w[i:i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+
+    sets = [(r[0], shingles(r[1])) for r in rows]
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= 85 * len(a | b):
+                parent[root(i)] = root(j)
+    least: dict = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    wanted = Counter((d, len(s), least.get(root(i))) for i, (d, s) in enumerate(sets))
+    assert counted(jaccard.near_duplicates(docs).collect()) == wanted
+    assert jaccard.near_duplicates(empty).count() == 0
+
+
+def test_similar_sets_share_a_signature():
+    rng = np.random.default_rng(6)
+    for n in [*range(1, 90), 130, 400, 1000]:
+        for _ in range(5):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            drop, add = int(rng.integers(0, n // 6 + 1)), int(rng.integers(0, n // 6 + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 2**64, add, dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 85 * (len(a) + len(b) - common):
+                assert set(jaccard.signatures(a)) & set(jaccard.signatures(b))
+                unequal = sum(x != y for x, y in zip(jaccard.sketch(a), jaccard.sketch(b)))
+                assert unequal <= jaccard.differing(min(len(a), len(b)))
+
+
+def test_risk_rules(docs, rows, labels, empty):
+    found = risk_rules.apply_rules(docs, labels).collect()
+    for r in found:
+        text = next(x[1] or "" for x in rows if x[0] == r["doc_id"])
+        w = WORDS.findall(text)
+        windows = Counter(zip(w, w[1:], w[2:]))
+        repeat = {j for i in range(len(w) - 2) if windows[tuple(w[i:i + 3])] > 1 for j in range(i, i + 3)}
+        seen, again = set(), 0
+        for line in text.split("\n"):
+            if WORDS.search(line):
+                again += line in seen
+                seen.add(line)
+        wanted = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(repeat))
+        assert tuple(r[c] for c in risk_rules.COUNTS[:5]) == wanted
+        failed = len(w) < 50 or 100 * len(repeat) > 50 * len(w)
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert risk_rules.apply_rules(empty, labels).count() == 0
+
+
+def test_binomial_bound():
+    from math import comb
+
+    for bad, n in ((0, 10), (3, 50), (10, 200)):
+        p = risk_rules.upper_bound(bad, n, 0.05)
+        assert abs(sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(bad + 1)) - 0.05) < 1e-6
+    most = risk_rules.allowed(2000, 0.02, 0.001)
+    assert risk_rules.upper_bound(most, 2000, 0.001) <= 0.02 < risk_rules.upper_bound(most + 1, 2000, 0.001)
+
+
+def test_token_codes(docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_file())
+    wanted, start = [], 0
+    ids = [(r[0], [*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2]) for r in rows]
+    for doc_id, own in sorted(ids, key=lambda x: (x[0] is not None, x[0] or 0)):
+        wanted.append((doc_id, start, len(own), zlib.crc32(np.array(own, "<u4").tobytes())))
+        start += len(own)
+    assert counted(token_codes.write_and_read(docs, tokenizer_file()).collect()) == counted(wanted)
+    assert token_codes.write_and_read(empty, tokenizer_file()).count() == 0
+
+
+def test_encoder_equals_the_tokenizer():
+    encoder = token_codes.Encoder(tokenizer_file(), cached=50)
+    texts = ["It's WE'LL x²½\x85b\xa0c À\x1cz", "İstanbul ſ Σς", "<|endoftext|> a", "日本 語", "é", "", "a\xad\x00_", *(chr(c) + "a" + chr(c) for c in range(0x250))]
+    for text, own in zip(texts, encoder.encode(texts)):
+        assert own.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_random_access():
+    ids = np.random.default_rng(5).integers(0, 2**32, 3000, dtype=np.uint64) >> np.random.default_rng(6).integers(0, 32, 3000).astype(np.uint64)
+    segment = token_codes.Segment(memoryview(token_codes.encode_segment([(1, ids[:1000]), (None, ids[1000:])])))
+    at = np.random.default_rng(7).integers(0, 3000, 500)
+    assert (segment.ids(at) == ids[at]).all()
+    flags = ids % 3 == 0
+    bits = Bits.of(flags)
+    assert (bits.rank(np.arange(3000)) == np.cumsum(flags) - flags).all() and (bits.get(np.arange(3000)) == flags).all()
+
+
+def test_pipeline_keeps_and_drops(spark):
+    import corpus_pipeline
+
+    path = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    unique = corpus_pipeline.near_duplicates(spark, docs, path)
+    named = jaccard.near_duplicates(docs).select("component_id").distinct()
+    assert unique.columns == docs.columns and unique.count() == named.count()
+    clean = corpus_pipeline.contaminated(spark, unique, path)
+    assert clean.columns == docs.columns
+    assert contamination.report(clean, spark.read.parquet(f"{path}/benchmark.parquet")).where("contaminated").count() == 0
+    mixed = corpus_pipeline.mixture(spark, clean, path)
+    assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == clean.count() <= mixed.count()

@@ -47,7 +47,7 @@ def base32_sha1(data: bytes) -> str:
 
 def safe_url(url: str | None) -> bytes:
     """An address without blanks and control characters, as header lines need it; null or empty is ``-``."""
-    return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0], (url or "").encode()) or b"-"
+    return re.sub(rb"[\x00-\x20\x7f]", lambda m: b"%%%02X" % m[0][0], (url or "").encode()) or b"-"
 
 
 def http_response(payload: bytes, page_id: int | None) -> bytes:
