@@ -39,7 +39,7 @@ def plain(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "NaN"
-        return 0.0 if value == 0 else value
+        return repr(value) if value == 0 else value  # zeros keep their sign
     if isinstance(value, (bytes, bytearray)):
         return bytes(value).hex()
     if isinstance(value, (list, tuple)):

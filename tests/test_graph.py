@@ -102,3 +102,14 @@ def test_edge_list_text(spark):
     graph = Graph.from_edge_list(lines)
     assert sorted((r.src, r.dst) for r in graph.edges.collect()) == [(1, 2), (2, 1), (3, 1)]
     assert sorted(r.id for r in graph.vertices.collect()) == [1, 2, 3]
+
+
+def test_loops_end_by_themselves_or_raise(spark):
+    path = Graph(spark.range(21).toDF("id"), spark.range(20).selectExpr("id AS src", "id + 1 AS dst"))
+    assert A.strongly_connected_components(path).count() == 21
+    with pytest.raises(RuntimeError):
+        A.shortest_hops(path, spark.range(20, 21).toDF("id"), max_rounds=3)
+    with pytest.raises(RuntimeError):
+        A.transitive_closure(path.edges, max_rounds=3)
+    with pytest.raises(RuntimeError):
+        A.strongly_connected_components(path, max_rounds=3)

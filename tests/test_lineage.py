@@ -229,3 +229,25 @@ def test_measured_tasks_count_every_row(spark):
     df = spark.range(1000).repartition(4)
     tasks = metrics.measured_tasks(df).collect()
     assert sum(r.records for r in tasks) == 1000 and {r.partition for r in tasks} == {0, 1, 2, 3}
+
+
+def test_source_that_feeds_two_branches(spark):
+    rows = [(i, i % 3, float(i)) for i in range(10)]
+    table = LineageFrame.source(spark.createDataFrame(rows, "k bigint, g bigint, v double"), "t", ["k"])
+    low, high = table.filter("k < 5").map("g", "v"), table.filter("k >= 5").map("g", F.col("v").alias("w"))
+    job = low.join(high, ["g"])
+    back = trace(job).back_to_sources()
+    assert sorted(r["id"]["k"] for r in back.ids("t").collect()) == list(range(10))
+    assert sorted(r["id"]["k"] for r in back.show("t").select("id").distinct().collect()) == list(range(10))
+
+    def values(frame):
+        return sorted(tuple(r) for r in frame.values().collect())
+
+    assert values(trace(job).replay()) == values(job) != []
+
+
+def test_two_sources_of_one_name_are_refused(spark):
+    one = LineageFrame.source(spark.range(3).toDF("k"), "t", ["k"])
+    two = LineageFrame.source(spark.range(4).toDF("k"), "t", ["k"])
+    with pytest.raises(ValueError):
+        trace(one.join(two, ["k"]))

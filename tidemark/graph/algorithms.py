@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import random
 from tidemark.graph.graph import Graph, pregel
 from tidemark.session import stored
+from tidemark.session import rounds as until_done
 
 
 # ---- rank -----------------------------------------------------------------------------------
@@ -38,11 +39,11 @@ def page_rank(graph: Graph, rounds: int, reset: float = 0.15, source: int | None
     return ranks
 
 
-def page_rank_until(graph: Graph, tolerance: float, reset: float = 0.15, max_rounds: int = 200) -> DataFrame:
+def page_rank_until(graph: Graph, tolerance: float, reset: float = 0.15, max_rounds: int | None = None) -> DataFrame:
     """Rounds go on until no rank moves by more than ``tolerance``."""
     edges = _weighted(graph)
     ranks = stored(graph.vertices.select("id", F.lit(1.0).alias("rank")))
-    for _ in range(max_rounds):
+    for _ in until_done(max_rounds):
         new = stored(_rank_round(ranks, edges, F.lit(reset), 1 - reset))
         old = ranks.withColumnRenamed("rank", "_old")
         moved = new.join(old, "id").agg(F.max(F.abs(F.col("rank") - F.col("_old")))).first()[0]
@@ -68,7 +69,7 @@ def contribution_rank(links: DataFrame, rounds: int) -> DataFrame:
 # ---- components -----------------------------------------------------------------------------
 
 
-def connected_components(graph: Graph, max_rounds: int = 100) -> DataFrame:
+def connected_components(graph: Graph, max_rounds: int | None = None) -> DataFrame:
     """(id, component): the smallest id that can be reached, directions ignored.
 
     Large-star and small-star steps by turns: each links neighbours to the smallest one near
@@ -77,7 +78,7 @@ def connected_components(graph: Graph, max_rounds: int = 100) -> DataFrame:
     links = stored(_descending(graph.edges.where("src <> dst").select(
         F.col("src").alias("u"), F.col("dst").alias("v"))))
     mark = _fingerprint(links)
-    for _ in range(max_rounds):
+    for _ in until_done(max_rounds):
         links = stored(_small_star(_large_star(links)))
         now = _fingerprint(links)
         if now == mark:
@@ -111,7 +112,7 @@ def _fingerprint(links: DataFrame) -> tuple:
     return tuple(row)
 
 
-def strongly_connected_components(graph: Graph, max_rounds: int = 1000) -> DataFrame:
+def strongly_connected_components(graph: Graph, max_rounds: int | None = None) -> DataFrame:
     """(id, component): smallest id of the strongly connected component.
 
     Vertices without in- or out-edges are components of their own and are taken away first. Then
@@ -121,7 +122,7 @@ def strongly_connected_components(graph: Graph, max_rounds: int = 1000) -> DataF
     done: list[DataFrame] = []
     vertices = stored(graph.vertices.select("id"))
     edges = stored(graph.edges.where("src <> dst").select("src", "dst").distinct())
-    for _ in range(max_rounds):
+    for _ in until_done(max_rounds):
         inner = vertices.join(edges.select(F.col("src").alias("id")), "id", "left_semi").join(
             edges.select(F.col("dst").alias("id")), "id", "left_semi")
         trimmed = stored(vertices.join(inner, "id", "left_anti").select("id", F.col("id").alias("component")))
@@ -193,12 +194,12 @@ def label_propagation(graph: Graph, rounds: int) -> DataFrame:
 # ---- paths ----------------------------------------------------------------------------------
 
 
-def shortest_hops(graph: Graph, landmarks: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def shortest_hops(graph: Graph, landmarks: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, landmark, hops) along edge directions, breadth first from the landmarks backward."""
     edges = stored(graph.edges.select("src", F.col("dst").alias("id")).distinct())
     front = stored(landmarks.select("id", F.col("id").alias("landmark"), F.lit(0).alias("hops")))
     known = [front]
-    for hops in range(1, max_rounds + 1):
+    for hops in (n + 1 for n in until_done(max_rounds)):
         seen = reduce(DataFrame.union, known).select("id", "landmark")
         step = edges.join(front.select("id", "landmark"), "id").select(F.col("src").alias("id"), "landmark").distinct()
         front = stored(step.join(seen, ["id", "landmark"], "left_anti").withColumn("hops", F.lit(hops)))
@@ -214,11 +215,11 @@ def shortest_distance(graph: Graph, source: int, weight: str) -> DataFrame:
     return pregel(graph, start, F.least, lambda s, d: F.when(s + F.col(weight) < d, s + F.col(weight)), F.min)
 
 
-def transitive_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def transitive_closure(edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """All (src, dst) with a path; only pairs found in the last round are extended."""
     step = stored(edges.select("src", "dst").distinct())
     new, known = step, [step]
-    for _ in range(max_rounds):
+    for _ in until_done(max_rounds):
         longer = new.withColumnRenamed("dst", "mid").join(step.withColumnsRenamed({"src": "mid"}), "mid").select("src", "dst").distinct()
         new = stored(longer.join(reduce(DataFrame.union, known), ["src", "dst"], "left_anti"))
         if new.isEmpty():

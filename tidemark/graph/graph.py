@@ -14,7 +14,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import stored
+from tidemark.session import rounds, stored
 
 
 @dataclass(frozen=True)
@@ -127,7 +127,7 @@ class Graph:
 
 def pregel(
     graph: Graph, initial: Column, program: Callable[[Column, Column], Column],
-    send: Callable[[Column, Column], Column], merge: Callable[[str], Column], max_rounds: int = 1000,
+    send: Callable[[Column, Column], Column], merge: Callable[[str], Column], max_rounds: int | None = None,
 ) -> DataFrame:
     """(id, state) after rounds of messages along the edges, until none is sent.
 
@@ -135,7 +135,7 @@ def pregel(
     columns. Only vertices whose state changed in the last round send.
     """
     state = stored(graph.vertices.select("id", initial.alias("state"), F.lit(True).alias("active")))
-    for _ in range(max_rounds):
+    for _ in rounds(max_rounds):
         s = state.where("active").select(F.col("id").alias("src"), F.col("state").alias("_s"))
         d = state.select(F.col("id").alias("dst"), F.col("state").alias("_d"))
         triplets = graph.edges.join(s, "src").join(d, "dst")

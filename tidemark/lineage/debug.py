@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import stored
+from tidemark.session import rounds as until_done
 
 
 @dataclass(frozen=True)
@@ -25,7 +26,7 @@ class Round:
 
 def isolate(
     suspects: DataFrame, key: list[str], run: Callable[[DataFrame, list[str]], DataFrame],
-    faulty: Column, parts: int = 8, max_rounds: int = 64,
+    faulty: Column, parts: int = 8, max_rounds: int | None = None,
 ) -> tuple[DataFrame, list[Round]]:
     """Delta debugging: shrink the suspect inputs while the job still fails on them.
 
@@ -38,7 +39,7 @@ def isolate(
     rounds: list[Round] = []
     current = suspects
     size = read = current.count()
-    for number in range(max_rounds):
+    for number in until_done(max_rounds):
         if size <= 1:
             break
         began = time.perf_counter()

@@ -24,10 +24,15 @@ class Trace:
     whole: bool = False  # all records of the step: nothing to restrict
 
     def ids(self, source: str | None = None) -> DataFrame:
-        for frame, ids in self.at:
-            if source is None or frame.stage.name == source:
-                return ids
-        raise LookupError(source)
+        """Traced ids of a step, the first one if none is named; branches of one step are united."""
+        return reduce(DataFrame.union, [ids for _, ids in self._step(source)]).distinct()
+
+    def _step(self, name: str | None) -> list[tuple[LineageFrame, DataFrame]]:
+        """All traced branches of one step: a step that feeds several branches was filtered for each."""
+        found = [(f, ids) for f, ids in self.at if name is None or f.stage.name == name]
+        if not found:
+            raise LookupError(name)
+        return [(f, ids) for f, ids in found if f.stage is found[0][0].stage]
 
     def filter(self, condition: Column | str) -> Trace:
         """Keep traced records by a condition on ``id`` or, joined in, on their values."""
@@ -89,23 +94,21 @@ class Trace:
 
     def show(self, step: str | None = None) -> DataFrame:
         """The distinct records behind the traced ids, ids included."""
-        for frame, ids in self.at:
-            if step is None or frame.stage.name == step:
-                rows = frame.df.withColumnRenamed(ID, "id").drop(COST, TOTAL)
-                return rows.join(ids, "id", "left_semi").distinct()
-        raise LookupError(step)
+        parts = [
+            frame.df.withColumnRenamed(ID, "id").drop(COST, TOTAL).join(ids, "id", "left_semi") for frame, ids in self._step(step)]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).distinct()
 
     def resume(self, shown: DataFrame) -> Trace:
         """Go on tracing from a subset of what ``show`` returned."""
-        frame, _ = self.at[0]
-        return replace(self, at=((frame, shown.select("id").distinct()),), whole=False)
+        ids = shown.select("id").distinct()
+        return replace(self, at=tuple((frame, ids) for frame, _ in self._step(None)), whole=False)
 
     def replay(self) -> LineageFrame:
         """Run the pipeline again on the traced source records only."""
         behind = self.back_to_sources()
+        stages = {f.stage.name: f.stage for f, _ in behind.at}
         return self.root.rerun({
-            f.stage.name: f.stage.origin.join(ids.withColumnRenamed("id", ID), ID, "left_semi")
-            for f, ids in behind.at
+            name: stage.origin.join(behind.ids(name).withColumnRenamed("id", ID), ID, "left_semi") for name, stage in stages.items()
         })
 
     def source_rows(self, source: str, table: DataFrame, key: list[str]) -> DataFrame:
@@ -115,7 +118,11 @@ class Trace:
 
 
 def trace(frame: LineageFrame) -> Trace:
-    """Start at the final records of a pipeline."""
+    """Start at the final records of a pipeline. Its sources are told apart by name."""
+    named: dict[str, object] = {}
+    for f in _frames(frame):
+        if f.stage.kind == "source" and named.setdefault(f.stage.name, f.stage) is not f.stage:
+            raise ValueError(f"two different sources are called {f.stage.name}")
     return Trace(frame, ((frame, frame.ids()),), whole=True)
 
 

@@ -73,7 +73,10 @@ def correlation(df: DataFrame, column: str) -> DataFrame:
 def dense(entries: DataFrame, size: int) -> np.ndarray:
     """A small square matrix on the driver: size * size entries."""
     out = np.zeros((size, size))
-    for r in entries.limit(size * size).collect():
+    rows = entries.limit(size * size + 1).collect()  # one more than fits, to see that it doesn't
+    if len(rows) > size * size or any(r.i >= size or r.j >= size for r in rows):
+        raise ValueError(f"the entries don't fit in a {size} x {size} matrix")
+    for r in rows:
         out[r.i, r.j] = r.v
     return out
 

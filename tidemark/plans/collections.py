@@ -29,10 +29,10 @@ def _(t):
 
 
 @query("ar13_sort_array", """
-    SELECT vec_id, list_sort(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))) AS up,
-           list_reverse_sort(list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 4))) AS down FROM embeddings""")
+    SELECT vec_id, list_sort(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS up,
+           list_reverse_sort(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS down FROM embeddings""")
 def _(t):
-    exact = F.transform("embedding", lambda x: F.round(x.cast("double"), 4))
+    exact = F.transform("embedding", lambda x: x.cast("double"))
     return t.embeddings.select("vec_id", F.sort_array(exact).alias("up"), F.sort_array(exact, asc=False).alias("down"))
 
 

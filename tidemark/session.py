@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -83,5 +84,14 @@ def setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+def rounds(limit: int | None = None) -> Iterator[int]:
+    """0, 1, 2, ... for loops that end by themselves; a caller's limit that is reached before that raises."""
+    n = 0
+    while limit is None or n < limit:
+        yield n
+        n += 1
+    raise RuntimeError(f"the loop isn't done after {limit} rounds")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
