@@ -182,12 +182,18 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, m
     shares that they have among all labelled rows.
     """
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(fold("doc_id", folds) != 0).join(known, "doc_id")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # the sample is drawn from ids and sizes; only then are its texts read
+    rows = docs.select("doc_id", F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("hash")).where(fold("doc_id", folds) != 0).distinct().join(known, "doc_id")
     counts = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
-    sampled = []
+    drawn = []
     for quality in (0, 1):
-        own = rows.where((F.col("quality") == quality) & (F.octet_length("text") <= max_bytes))
-        sampled += own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", F.xxhash64("text")).limit(per_class).collect()
+        own = rows.where((F.col("quality") == quality) & (F.col("bytes") <= max_bytes))
+        drawn += own.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "hash").limit(per_class).select("doc_id", "hash", "quality").collect()
+    names = docs.sparkSession.createDataFrame(drawn, "doc_id bigint, hash bigint, quality int")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).withColumn("hash", F.xxhash64("text")).join(
+        F.broadcast(names), ["doc_id", "hash"])  # at most 2 * per_class rows
+    sampled = sorted(texts.dropDuplicates(["doc_id", "hash"]).collect(), key=lambda r: (r["hash"], r["doc_id"]))
     y = np.array([r["quality"] for r in sampled], np.float32)
     taken = {q: max(1, int((y == q).sum())) for q in (0, 1)}
     weights = np.array([counts[r["quality"]] / taken[r["quality"]] for r in sampled], np.float32)
