@@ -382,3 +382,33 @@ def test_pipeline_keeps_and_drops(spark):
     assert contamination.report(clean, spark.read.parquet(f"{path}/benchmark.parquet")).where("contaminated").count() == 0
     mixed = corpus_pipeline.mixture(spark, clean, path)
     assert mixed.columns == docs.columns and mixed.select("doc_id").distinct().count() == clean.count() <= mixed.count()
+
+
+def test_pipeline_near_duplicates_by_five_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    texts = []
+    for i, n in enumerate([30, 48, 49, 50, 51, 52, 60, 200, 201, 3]):  # one word changed: 0.8 at 5 words from 49 on, 0.85 at 4 words from 53 on
+        words = [f"w{i}x{j}" for j in range(n)]
+        near = [*words]
+        near[n // 2] = "changed"
+        texts += [" ".join(words), " ".join(near)]
+    texts += [texts[0] + " " + texts[7], texts[2].upper(), ""]
+    rng.shuffle(texts)
+
+    def shingles(text):
+        w = WORDS.findall(lower(text))
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= 80 * len(a | b):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    wanted = sorted(set(group))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()
+    assert sorted(r[0] for r in found) == wanted
+    by_four = jaccard.near_duplicates(docs).where("doc_id <=> component_id").count()
+    assert by_four > len(wanted)  # the law of op8 would keep near copies
