@@ -412,3 +412,41 @@ def test_pipeline_near_duplicates_by_five_words(spark):
     assert sorted(r[0] for r in found) == wanted
     by_four = jaccard.near_duplicates(docs).where("doc_id <=> component_id").count()
     assert by_four > len(wanted)  # the law of op8 would keep near copies
+
+
+def test_risk_rules_fire_in_small_strata(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(2000)]
+
+    def text(junk):
+        words = rng.sample(vocabulary, 80)
+        return " ".join(words + (["#$%&*"] * 3 + rng.sample(["#", "|", "&|", "<>", "$#"], 5)) * 3 if junk else words)
+
+    sizes = {"en": 900, "es": 330, "xx": 20}  # the last has too few labels for any cutoff, and takes nothing from the others
+    rows, labels = [], []
+    for lang, n in sizes.items():
+        for i in range(2 * n):
+            junk = i % 8 == 7
+            rows.append((len(rows), text(junk), lang))
+            if i % 2 == 0:
+                labels.append((rows[-1][0], 1, 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = risk_rules.apply_rules(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    good = {d for d, _, _ in labels}
+    for lang, n in sizes.items():
+        own = [r for r in found if rows[r["doc_id"]][2] == lang and not r["base_failed"]]
+        lost = sum(r["rejected_by"] is not None for r in own if r["doc_id"] in good)
+        held = sum(r["doc_id"] in good for r in own)
+        junk = [r for r in own if "#$%&*" in rows[r["doc_id"]][1]]
+        assert junk
+        if lang == "xx":
+            assert all(r["kept"] for r in own)
+        else:
+            assert all(r["rejected_by"] for r in junk)
+            assert risk_rules.upper_bound(lost, held, risk_rules.ERROR / 2) <= risk_rules.RISK
+
+
+def test_tested_strata():
+    assert risk_rules.tested_strata([2076, 507, 505, 321], 0.02, 0.05) == 4
+    assert risk_rules.tested_strata([2076, 507, 505, 321, 100, 3], 0.02, 0.05) == 4
+    assert risk_rules.tested_strata([3], 0.02, 0.05) == risk_rules.tested_strata([], 0.02, 0.05) == 0

@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are chosen under a guaranteed risk.
 
 Each rule rejects documents whose statistic lies above a cutoff. The cutoffs are chosen on labelled
-documents, for each stratum by itself: of the labelled good ones, the share that a cutoff rejects
-has an exact binomial upper bound (Clopper and Pearson), and a rule takes the strictest cutoff whose
-bound is within the rule's share of the risk. The error probability is divided by the number of
-cutoffs tried (rules, grid points and strata), so that all bounds hold at once.
+documents, for each stratum by itself: of the labelled good ones, the share that the rules reject
+together has an exact binomial upper bound (Clopper and Pearson). Cutoffs of all rules go from loose
+to strict in one sequence, which is fixed by documents outside this holdout: in each step every rule
+rejects a little more of those. The sequence is followed until the first step whose bound exceeds the
+risk, so no error is spent on the number of steps or rules. It is divided by the strata that have
+labels enough for any cutoff, so that all bounds hold at once.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 # statistics per document, each larger for worse texts, in steps of 1/64 from 0 to 4
 RULES = ("symbols_per_word", "dup_lines", "repeat_words", "upper", "short_lines")
 GRID, STEP = 256, 64
+SHARES = np.arange(513) / 1024  # of other documents that a rule may reject, step by step
+OWN_PATH = 1024  # with fewer other documents a stratum has none in the first share, and follows the sequence of all strata
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
 
 _IS_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -128,32 +132,78 @@ def allowed(n: int, risk: float, error: float) -> int:
     return low
 
 
-def choose_cutoffs(graded: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, a cutoff per rule): a document is rejected by a rule if its grade is above the cutoff.
+def paths_of(others: DataFrame, stratum: str) -> DataFrame:
+    """(stratum, n, an array of cutoffs per rule, loose to strict) of documents that no bound is tested on.
 
-    ``graded`` holds the labelled good documents. Only counts per stratum, rule and grade are
-    gathered. A rule rejects nothing (cutoff ``GRID``) where no cutoff can be guaranteed.
+    In each step a rule's cutoff leaves at most the next of ``SHARES`` of these documents above it.
+    The row with a null stratum has the path of all of them.
     """
-    cells = graded.select(stratum, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("grade")) for r in RULES])).alias("c"))
-    counts = stored(cells.groupBy(stratum, "c.rule", "c.grade").agg(F.count("*").alias("n")), "grades")
-    strata = max(1, counts.select(stratum).distinct().count())
-    share, tried = risk / len(RULES), error / (len(RULES) * GRID * strata)
+    cells = others.select(stratum, F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("grade")) for r in RULES])).alias("c"))
+    counts = stored(cells.groupBy(stratum, "c.rule", "c.grade").agg(F.count("*").alias("n")), "other_grades")
+    overall = counts.groupBy("rule", "grade").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias(stratum), "rule", "grade", "n")
 
-    def pick(key, frame):
+    def quantiles(key, frame):
         import pandas as pd
 
-        cutoffs = []
+        steps, total = [], 0
         for rule in RULES:
             own = frame[frame["rule"] == rule]
             by_grade = np.bincount(own["grade"].astype(int), weights=own["n"], minlength=GRID + 1).astype(np.int64)
             total = int(by_grade.sum())
-            above = total - np.cumsum(by_grade)  # rejected if the cutoff is that grade
-            most = allowed(total, share, tried)
-            fit = np.flatnonzero(above[:GRID] <= most) if most >= 0 else np.zeros(0, int)
-            cutoffs.append(int(fit[0]) if len(fit) else GRID)
-        return pd.DataFrame([[key[0], *cutoffs]], columns=[stratum, *[f"max_{r}" for r in RULES]])
+            above = total - np.cumsum(by_grade)
+            steps.append([int(np.flatnonzero(above <= share * total)[0]) for share in SHARES])
+        return pd.DataFrame([[key[0], total, *steps]], columns=[stratum, "others", *[f"path_{r}" for r in RULES]])
+
+    schema = f"{stratum} string, others bigint, " + ", ".join(f"path_{r} array<int>" for r in RULES)
+    return counts.union(overall).groupBy(stratum).applyInPandas(quantiles, schema)
+
+
+def tested_strata(sizes: list[int], risk: float, error: float) -> int:
+    """How many strata, largest first, are tested so that each could have a cutoff with its share of the error; this depends on sizes alone."""
+    sizes = sorted(sizes, reverse=True)
+    return max((m for m, n in enumerate(sizes, 1) if upper_bound(0, n, error / m) <= risk), default=0)
+
+
+def choose_cutoffs(graded: DataFrame, others: DataFrame, stratum: str, risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, a cutoff per rule): a document is rejected by a rule if its grade is above the cutoff.
+
+    ``graded`` holds the labelled good documents, ``others`` documents that aren't among them. Only
+    counts per stratum and step are gathered. All cutoffs are ``GRID`` (nothing is rejected) where
+    no step can be guaranteed.
+    """
+    paths = stored(paths_of(others, stratum), "paths")
+    names = [f"path_{r}" for r in RULES]
+    own = paths.where(F.col(stratum).isNotNull() & (F.col("others") >= OWN_PATH))
+    overall = paths.where(F.col(stratum).isNull()).select(*[F.col(c).alias(f"all_{c}") for c in names])
+    sizes = stored(graded.groupBy(stratum).agg(F.count("*").alias("good")), "sizes")
+    plain = F.sequence(F.lit(GRID - 1), F.lit(0), F.lit(-1))  # if there are no other documents
+    walked = sizes.join(own, stratum, "left").join(F.broadcast(overall), F.lit(True), "left")  # one row
+    walked = stored(walked.select(stratum, "good", *[F.coalesce(c, f"all_{c}", plain).alias(c) for c in names]), "walked")
+    tested = tested_strata([r["good"] for r in sizes.select("good").collect()], risk, error)
+
+    # the first step that rejects a document; a path's cutoffs never rise
+    def passed(rule: str):
+        return F.size(F.filter(f"path_{rule}", lambda c: c >= F.col(rule)))
+
+    step = F.least(*map(passed, RULES))
+    steps = graded.join(walked, stratum).groupBy(stratum, step.alias("step")).agg(F.count("*").alias("n"))
+    lists = steps.groupBy(stratum).agg(F.collect_list(F.struct("step", "n")).alias("steps"))  # one per step at most
+
+    def pick(frames):
+        import pandas as pd
+
+        for frame in frames:
+            cutoffs = []
+            for row in frame.to_dict("records"):
+                paths = [list(row[c]) for c in names]
+                rejected = np.cumsum(np.bincount([s["step"] for s in row["steps"]], weights=[s["n"] for s in row["steps"]], minlength=len(paths[0])))
+                most = allowed(int(row["good"]), risk, error / max(1, tested))
+                failed = np.flatnonzero(rejected[:len(paths[0])] > most)
+                last = (int(failed[0]) if len(failed) else len(paths[0])) - 1
+                cutoffs.append([row[stratum], *(p[last] if last >= 0 else GRID for p in paths)])
+            yield pd.DataFrame(cutoffs, columns=[stratum, *[f"max_{r}" for r in RULES]])
 
-    return counts.groupBy(stratum).applyInPandas(pick, f"{stratum} string, " + ", ".join(f"max_{r} int" for r in RULES))
+    return walked.join(lists, stratum).mapInPandas(pick, f"{stratum} string, " + ", ".join(f"max_{r} int" for r in RULES))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
@@ -170,7 +220,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     good = labels.where("quality = 1").select("doc_id").distinct()
     # what the base rejects is gone before the rules, so it isn't part of their holdout
     holdout = rows.where(~base).join(good, "doc_id", "left_semi")
-    cutoffs = choose_cutoffs(holdout, "stratum", risk, error)
+    cutoffs = choose_cutoffs(holdout, rows.where(~base).join(good, "doc_id", "left_anti"), "stratum", risk, error)
     above = [F.when(F.col(r) > F.coalesce(F.col(f"max_{r}"), F.lit(GRID)), F.lit(r)) for r in RULES]
     judged = rows.join(cutoffs, "stratum", "left").withColumn("base_failed", base).withColumn("rejected_by", F.coalesce(*above))
     return judged.select(
