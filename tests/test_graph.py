@@ -113,3 +113,35 @@ def test_loops_end_by_themselves_or_raise(spark):
         A.transitive_closure(path.edges, max_rounds=3)
     with pytest.raises(RuntimeError):
         A.strongly_connected_components(path, max_rounds=3)
+
+
+def test_links_of_all_priorities(spark, tables):
+    from tidemark import registry
+
+    queries, path = registry.queries(), "/root/testdata/sf0.001"
+    orders = {r.o_orderkey: (r.o_custkey, r.o_orderpriority) for r in tables.orders.collect()}
+    pairs = [(a, orders[k + 1][0], p) for k, (a, p) in orders.items() if k + 1 in orders and orders[k + 1][1] == p]
+    balance = {r.c_custkey: r.c_acctbal for r in tables.customer.collect()}
+    assert any(p != "1-URGENT" for _, _, p in pairs)
+
+    def reached(edges):
+        out = {i: {i} for i in balance}
+        for i in out:
+            front = [i]
+            while front:
+                front = [b for x in front for b in edges.get(x, ()) if not (b in out[i] or out[i].add(b))]
+        return out
+
+    one_way, both = {}, {}
+    for a, b, _ in pairs:
+        one_way.setdefault(a, set()).add(b)
+        both.setdefault(a, set()).add(b)
+        both.setdefault(b, set()).add(a)
+    to, near = reached(one_way), reached(both)
+    state = {i: max(balance[j] for j in balance if i in to[j]) for i in balance}
+    assert {r.id: r.state for r in queries["gx16_pregel_all_links"](spark, path).collect()} == state
+    assert {r.id: r.component for r in queries["gx18_connected_components_all_links"](spark, path).collect()} == {i: min(x) for i, x in near.items()}
+    strong = {i: min(j for j in to[i] if i in to[j]) for i in balance}
+    assert {r.id: r.component for r in queries["gx19_strongly_connected_components_all_links"](spark, path).collect()} == strong
+    closure = {(r.src, r.dst) for r in queries["gx26_transitive_closure_all_links"](spark, path).collect()}
+    assert closure == {(a, d) for a in one_way for b in one_way[a] for d in to[b]}

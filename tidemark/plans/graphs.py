@@ -174,6 +174,15 @@ def _(t):
     return pregel(urgent(t), F.col("bal"), F.greatest, lambda s, d: F.when(s > d, s), F.max)
 
 
+REACHED = f"""WITH RECURSIVE {VERTS}, {WITH_E}, r(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM r JOIN e ON src = id) """
+
+
+@query("gx16_pregel_all_links", f"{REACHED} SELECT r.id, max(bal) AS state FROM r JOIN v ON v.id = x GROUP BY 1")
+def _(t):
+    """The same over the links of all priorities."""
+    return pregel(links(t), F.col("bal"), F.greatest, lambda s, d: F.when(s > d, s), F.max)
+
+
 RANK = """SELECT v.id, {reset} + 0.85 * coalesce(s, 0) AS rank FROM v LEFT JOIN (SELECT dst, sum(rank / deg) AS s FROM e
     JOIN {{r}} ON {{r}}.id = src JOIN (SELECT src AS k, count(*) AS deg FROM e GROUP BY 1) ON k = src GROUP BY 1) ON dst = v.id"""
 
@@ -206,6 +215,13 @@ def _(t):
     return A.connected_components(urgent(t))
 
 
+@query("gx18_connected_components_all_links", f"""
+    WITH RECURSIVE {VERTS}, {WITH_E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    r(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM r JOIN b ON src = id) SELECT id, min(x) AS component FROM r GROUP BY 1""")
+def _(t):
+    return A.connected_components(links(t))
+
+
 @query("gx19_strongly_connected_components", f"""
     WITH RECURSIVE {VERTS}, {WITH_U}, r(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM r JOIN e ON src = id)
     SELECT a.id, min(a.x) AS component FROM r AS a JOIN r AS b ON a.id = b.x AND a.x = b.id GROUP BY 1""")
@@ -213,6 +229,11 @@ def _(t):
     return A.strongly_connected_components(urgent(t))
 
 
+@query("gx19_strongly_connected_components_all_links", f"{REACHED} SELECT a.id, min(a.x) AS component FROM r AS a JOIN r AS b ON a.id = b.x AND a.x = b.id GROUP BY 1")
+def _(t):
+    return A.strongly_connected_components(links(t))
+
+
 @query("gx20_triangle_count", f"""
     WITH {VERTS}, c AS MATERIALIZED (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM ({PAIRS}) WHERE src <> dst),
     t AS (SELECT x.a, x.b, y.b AS c FROM c AS x JOIN c AS y ON y.a = x.b JOIN c AS z ON z.a = x.a AND z.b = y.b)
@@ -264,6 +285,12 @@ def _(t):
     return A.transitive_closure(urgent(t).edges)
 
 
+@query("gx26_transitive_closure_all_links")
+def _(t):
+    """The result has up to the square of the customers' number of rows: nearly all customers are linked."""
+    return A.transitive_closure(links(t).edges)
+
+
 @query("gx27_star", "SELECT c_custkey AS src, 0::BIGINT AS dst FROM customer WHERE c_custkey > 0")
 def _(t):
     return A.star(vertices(t).select("id"))
