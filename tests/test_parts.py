@@ -107,3 +107,69 @@ def test_no_query_pairs_all_rows(spark):
         if name.startswith(lazy) and q.sql and name not in PAIRED:
             text = plan(q(spark, "/root/testdata/sf0.001"))
             assert "CartesianProduct" not in text, name
+
+
+def test_itemsets_and_rules_of_all_sizes(spark, tables):
+    import itertools
+
+    baskets: dict = {}
+    for r in tables.orders.collect():
+        baskets.setdefault(r.o_custkey, set()).add(int(r.o_orderpriority[0]) * 10 + ord(r.o_orderstatus) % 10)
+    items = sorted(set().union(*baskets.values()))
+    sets, size = {}, 1
+    while True:
+        counted = {c: sum(set(c) <= b for b in baskets.values()) for c in itertools.combinations(items, size)}
+        frequent = {c: n for c, n in counted.items() if n >= 0.2 * len(baskets)}
+        if not frequent:
+            break
+        sets |= frequent
+        size += 1
+    assert size > 3  # sets of three items at least
+    found = registry.queries()["mo25_fp_growth_itemsets"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(sets) and {tuple(r["items"]): r.n for r in found} == sets
+    rules = {(tuple(x for x in c if x != i), i): n / sets[tuple(x for x in c if x != i)] for c, n in sets.items() if len(c) > 1 for i in c}
+    rules = {k: v for k, v in rules.items() if v >= 0.5}
+    found = registry.queries()["mo26_association_rules_itemsets"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(rules) and all(abs(rules[tuple(r.antecedent), r.consequent] - r.confidence) < 1e-12 for r in found)
+
+
+def test_count_vectorizer_keeps_all_words(spark, tmp_path):
+    from collections import Counter
+
+    rows = [(k, " ".join([*(f"w{10 * k + j}" for j in range(10)), "all", "all"])) for k in range(1_050)]  # 10,501 words
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string").write.parquet(str(tmp_path / "part.parquet"))
+    found = registry.queries()["ft22_count_vectorizer"](spark, str(tmp_path)).collect()
+    want = {(k, w): float(n) for k, name in rows for w, n in Counter(name.split(" ")).items()}
+    assert len(found) == len(want) and {(r.p_partkey, r.word): r.n for r in found} == want
+
+
+def test_lda_sees_all_words(spark, tables, monkeypatch):
+    import re
+
+    from pyspark.ml import clustering
+
+    sizes, fit = [], clustering.LDA.fit
+
+    def seen(self, df, *args):
+        sizes.append(df.first()["features"].size)
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(clustering.LDA, "fit", seen)
+    assert registry.queries()["mo20_lda"](spark, "/root/testdata/sf0.001").count() == tables.documents.count()
+    assert sizes == [len({w for r in tables.documents.collect() for w in re.findall("[a-z]+", r.text.lower()) if len(w) >= 3})]
+
+
+def test_svd_plus_plus_gives_users_and_items(spark, tables):
+    found = registry.queries()["gx24_svd_plus_plus"](spark, "/root/testdata/sf0.001")
+    bought = tables.lineitem.join(tables.orders, F.expr("l_orderkey = o_orderkey"))
+    kinds = {r.kind: r for r in found.groupBy("kind").agg(F.count("*").alias("n"), F.count("f3").alias("f"), F.count("y3").alias("y")).collect()}
+    users, items = bought.select("o_custkey").distinct().count(), bought.select("l_partkey").distinct().count()
+    assert (kinds["user"].n, kinds["user"].f, kinds["item"].n, kinds["item"].f, kinds["item"].y) == (users, users, items, items, items)
+
+
+def test_weeks_of_two_years_are_two_sequences(spark, tmp_path):
+    rows = [(1, "2023-01-03 10:00:00", "a"), (1, "2024-01-03 10:00:00", "b")]
+    made = spark.createDataFrame(rows, "user_id bigint, ts string, event_type string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    made.write.parquet(str(tmp_path / "events.parquet"))
+    found = registry.queries()["mo27_prefix_span"](spark, str(tmp_path)).collect()
+    assert sorted(r.sequence for r in found) == [[["a"]], [["b"]]]

@@ -130,11 +130,11 @@ def impurities(df: DataFrame, node: str, label: str) -> DataFrame:
         node, "total", (1 - F.col("q") / (t * t)).alias("gini"), (F.log2(t) - F.col("l") / t).alias("entropy"))
 
 
-def frequent_pairs(baskets: DataFrame, basket: str, item: str, share: float) -> DataFrame:
-    """Pairs of items that at least ``share`` of the baskets hold, by FP-growth on frequent items.
+def frequent_itemsets(baskets: DataFrame, basket: str, item: str, share: float) -> DataFrame:
+    """(items, n): sets of items of any size that at least ``share`` of the baskets hold, by FP-growth on frequent items.
 
-    Returns (a, b, n) with a < b. Infrequent items are dropped first; baskets are conditioned by
-    Spark's parallel FP-growth, so a basket's pairs are never written out.
+    Items are sorted. Infrequent ones are dropped first; baskets are conditioned by Spark's
+    parallel FP-growth, so a basket's sets are never written out.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -145,9 +145,22 @@ def frequent_pairs(baskets: DataFrame, basket: str, item: str, share: float) ->
     lists = items.join(frequent, item).groupBy(basket).agg(F.collect_set(item).alias("items"))
     kept = max(1, lists.count())  # baskets that still hold an item
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(0.0, (least - 0.5) / kept)), minConfidence=0.0).fit(lists)
-    pairs = model.freqItemsets.where((F.size("items") == 2) & (F.col("freq") >= least))
-    sorted_items = F.array_sort("items")
-    return pairs.select(sorted_items[0].alias("a"), sorted_items[1].alias("b"), F.col("freq").alias("n"))
+    return model.freqItemsets.where(F.col("freq") >= least).select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
+
+
+def frequent_pairs(baskets: DataFrame, basket: str, item: str, share: float) -> DataFrame:
+    """(a, b, n) of the frequent itemsets of two items, with a < b."""
+    pairs = frequent_itemsets(baskets, basket, item, share).where(F.size("items") == 2)
+    return pairs.select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"), "n")
+
+
+def rules(itemsets: DataFrame, confidence: float) -> DataFrame:
+    """(antecedent, consequent, confidence) of all frequent itemsets: one item follows from the others."""
+    whole = itemsets.select("items", "n", F.explode("items").alias("consequent"))
+    split = whole.select(F.array_remove("items", F.col("consequent")).alias("antecedent"), "consequent", "n").where(F.size("antecedent") > 0)
+    of = itemsets.select(F.col("items").alias("antecedent"), F.col("n").alias("_n"))
+    return split.join(of, "antecedent").select(
+        "antecedent", "consequent", (F.col("n") / F.col("_n")).alias("confidence")).where(F.col("confidence") >= confidence)
 
 
 def naive_bayes_counts(df: DataFrame, label: str, features: list[str], smoothing: float = 1.0) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tidemark.ml.text import term_counts, tf_idf
+from tidemark.ml.text import all_words, term_counts, tf_idf
 from tidemark.registry import query
 from tidemark.session import scratch
 
@@ -184,10 +184,11 @@ def _(t):
 @query("ft22_count_vectorizer", "SELECT p_partkey, word, count(*)::DOUBLE AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1, 2")
 def _(t):
     words = t.part.select("p_partkey", F.split("p_name", " ").alias("words"))
-    model = M.CountVectorizer(inputCol="words", outputCol="tf", vocabSize=10_000, minDF=1.0).fit(words)
-    named = F.create_map(*[x for i, w in enumerate(model.vocabulary) for x in (F.lit(i), F.lit(w))])  # at most vocabSize words
-    long = model.transform(words).select("p_partkey", F.posexplode(vector_to_array("tf")).alias("i", "n")).where("n > 0")
-    return long.select("p_partkey", named[F.col("i")].alias("word"), "n")
+    model = all_words(words, "words", "tf")
+    named = t.spark.createDataFrame(list(enumerate(model.vocabulary)), "i int, word string")
+    cells = F.udf(lambda v: list(zip(v.indices.tolist(), v.values.tolist())), "array<struct<i: int, n: double>>")
+    long = model.transform(words).select("p_partkey", F.explode(cells("tf")).alias("c")).select("p_partkey", "c.i", "c.n")
+    return long.join(named, "i").select("p_partkey", "word", "n")
 
 
 @query("ft23_idf", f"""

@@ -277,7 +277,10 @@ def _(t):
     bought = t.lineitem.join(t.orders, F.expr("l_orderkey = o_orderkey")).groupBy(
         F.col("o_custkey").alias("user"), F.col("l_partkey").alias("item")).agg((F.avg("l_quantity") / 10).alias("rating"))
     users, items, mean = A.svd_plus_plus(bought)
-    return users.select("user", "pb", "p0", "p1").withColumn("mean", F.lit(mean))
+    factors, none = range(4), F.lit(None).cast("double")
+    of_users = users.select(F.lit("user").alias("kind"), F.col("user").alias("id"), F.col("pb").alias("bias"), *[F.col(f"p{j}").alias(f"f{j}") for j in factors], *[none.alias(f"y{j}") for j in factors])
+    of_items = items.select(F.lit("item").alias("kind"), F.col("item").alias("id"), F.col("qb").alias("bias"), *[F.col(f"q{j}").alias(f"f{j}") for j in factors], *[f"y{j}" for j in factors])
+    return of_users.union(of_items).withColumn("mean", F.lit(mean))
 
 
 @query("gx26_transitive_closure", f"WITH RECURSIVE {WITH_U}, r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT src, dst FROM r")

@@ -11,6 +11,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import functions as F
 
 from tidemark.ml import training
+from tidemark.ml.text import all_words
 from tidemark.registry import query
 from tidemark.streaming.runner import file_stream
 
@@ -198,10 +199,10 @@ def _(t):
 
 @query("mo20_lda")
 def _(t):
-    from pyspark.ml.feature import CountVectorizer, RegexTokenizer
+    from pyspark.ml.feature import RegexTokenizer
 
     words = RegexTokenizer(inputCol="text", outputCol="words", pattern="[a-z]+", gaps=False, minTokenLength=3).transform(t.documents)
-    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=500, minDF=3).fit(words).transform(words)
+    counted = all_words(words, "words", "features").transform(words)
     model = K.LDA(k=4, maxIter=3, seed=1, optimizer="online").fit(counted.select("doc_id", "features"))
     done = model.transform(counted.select("doc_id", "features"))
     return done.select("doc_id", F.array_position(vector_to_array("topicDistribution"), F.array_max(vector_to_array("topicDistribution"))).alias("topic"))
@@ -275,6 +276,12 @@ def _(t):
     return training.frequent_pairs(baskets(t), "b", "i", 0.2)
 
 
+@query("mo25_fp_growth_itemsets")
+def _(t):
+    """Frequent sets of all sizes."""
+    return training.frequent_itemsets(baskets(t), "b", "i", 0.2)
+
+
 @query("mo26_association_rules", f"""
     WITH s AS (SELECT i, count(*) AS n FROM {BASKETS} GROUP BY 1),
     p AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM {BASKETS} AS x JOIN {BASKETS} AS y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2)
@@ -287,6 +294,12 @@ def _(t):
     return both.join(single, "a").select("a", "b", F.round(F.col("n") / F.col("one"), 9).alias("confidence")).where("confidence >= 0.5")
 
 
+@query("mo26_association_rules_itemsets")
+def _(t):
+    """Rules of frequent sets of all sizes."""
+    return training.rules(training.frequent_itemsets(baskets(t), "b", "i", 0.2), 0.5)
+
+
 @query("mo26_association_rules_model")
 def _(t):
     lists = baskets(t).groupBy("b").agg(F.collect_set("i").alias("items"))
@@ -299,7 +312,7 @@ def _(t):
     steps = t.events.groupBy("user_id", day.alias("day")).agg(F.collect_set("event_type").alias("types"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("day", "types"))), lambda s: s["types"])
     # a sequence is one user's week: at most seven steps of at most five types
-    sequences = steps.groupBy("user_id", F.weekofyear("day")).agg(ordered.alias("sequence"))
+    sequences = steps.groupBy("user_id", F.date_trunc("week", "day")).agg(ordered.alias("sequence"))
     return fpm.PrefixSpan(minSupport=0.1, maxPatternLength=2, sequenceCol="sequence").findFrequentSequentialPatterns(sequences)
 
 
