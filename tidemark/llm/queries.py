@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import archives, contamination, jaccard, language_model, mixing, quality_net, repeats, risk_rules, sharding, token_codes
+from tidemark.llm import (
+    archives, contamination, jaccard, language_model, middles, mixing, quality_net, repeats, risk_rules, sharding, spellings, token_codes, toxicity)
 from tidemark.tables import Tables
 
 
@@ -75,5 +76,23 @@ def op10_token_codes(spark: SparkSession, path: str) -> DataFrame:
     return token_codes.write_and_read(Tables(spark, path).documents, tokenizer_file())
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_net, op3_archives, op4_repeats, op5_sharding, op6_contamination, op7_language_model, op8_jaccard, op9_risk_rules, op10_token_codes)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_spellings(spark: SparkSession, path: str) -> DataFrame:
+    """Words of all documents with the more frequent spelling that each is a variant of."""
+    return spellings.variants(Tables(spark, path).documents)
+
+
+def op12_toxicity(spark: SparkSession, path: str) -> DataFrame:
+    """All documents scored by a convolutional network over words, with thresholds by language."""
+    t = Tables(spark, path)
+    return toxicity.classify(t.documents, t.labels)
+
+
+def op13_middles(spark: SparkSession, path: str) -> DataFrame:
+    """All documents cut for filling in the middle, and rebuilt."""
+    return middles.report(Tables(spark, path).documents)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_mixing, op2_quality_net, op3_archives, op4_repeats, op5_sharding, op6_contamination, op7_language_model, op8_jaccard, op9_risk_rules, op10_token_codes,
+    op11_spellings, op12_toxicity, op13_middles)}
+ORACLE_SQL: dict[str, str] = {"op13_middles": middles.REPORT_SQL}
