@@ -87,35 +87,45 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def gram_dictionary(words: DataFrame, frequent: int = FREQUENT, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
-    """Grams that grow on: those of ``shortest`` to ``longest`` - 1 characters at more than ``frequent`` places of the words.
+def places_of(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
+    """(word, n, place, window): what a gram at each place of a marked word can hold, ``longest`` characters or what is left."""
+    marked = words.select("word", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("m"))
+    return marked.select("word", "n", F.posexplode(F.expr(
+        f"transform(sequence(1, length(m) - {shortest} + 1), p -> substring(m, p, {longest}))")).alias("place", "window"))
+
+
+def parts_of(windows: DataFrame, shortest: int = SHORTEST) -> DataFrame:
+    """(window, times, q, gram): the parts from the front that leave a character to grow by."""
+    room = windows.where(f"length(window) > {shortest}")
+    return room.select("window", "times", F.explode(F.expr(
+        f"transform(sequence({shortest}, length(window) - 1), q -> struct(q, substring(window, 1, q) AS gram))")).alias("x")).select("window", "times", "x.q", "x.gram")
 
-    A gram of the dictionary is one of ``shortest`` characters, or one whose parts from the front are
-    all in this table; the rest of all grams is pruned.
+
+def gram_dictionary(words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """Grams that grow on: those of SHORTEST to LONGEST - 1 characters at more than ``frequent`` places of the words.
+
+    A gram of the dictionary is one of SHORTEST characters, or one whose parts from the front are
+    all in this table; the rest of all grams is pruned. Equal places are counted once.
     """
-    marked = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("m"))
-    places = marked.select("m", F.explode(F.expr(f"sequence(1, length(m) - {shortest} + 1)")).alias("p"))
-    # a gram that holds the end mark has nothing to grow by
-    grams = places.select(F.explode(F.expr(
-        f"transform(filter(sequence({shortest}, {longest - 1}), q -> p + q <= length(m)), q -> substring(m, p, q))")).alias("gram"))
-    return grams.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > frequent).select("gram")
+    windows = places_of(words).groupBy("window").agg(F.count("*").alias("times"))
+    return parts_of(windows).groupBy("gram").agg(F.sum("times").alias("n")).where(F.col("n") > frequent).select("gram")
 
 
-def decomposed(words: DataFrame, dictionary: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
-    """(word, n, place, gram): from every place of a marked word the longest gram of the dictionary.
+def decomposed(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(word, n, place, gram, frequency): from every place of a marked word the longest gram of the dictionary.
 
-    All parts a gram could grow by are joined with the dictionary by their characters; how far it
-    grows is the first part that isn't there.
+    A gram depends on its window alone, so it is looked up once per distinct window: how far it
+    grows is the first part that isn't in the dictionary. Frequencies are those of whole grams.
     """
-    marked = words.select("word", "n", F.concat(F.lit("^"), "word", F.lit("$")).alias("m"))
-    places = marked.select("word", "n", "m", F.explode(F.expr(f"sequence(1, length(m) - {shortest} + 1)")).alias("place"))
-    parts = places.select("word", "place", F.explode(F.expr(
-        f"transform(filter(sequence({shortest}, {longest - 1}), q -> place + q <= length(m)), q -> struct(q, substring(m, place, q) AS gram))")).alias("x"))
-    there = parts.select("word", "place", "x.q", "x.gram").join(dictionary, "gram", "left_semi")
+    places = places_of(words)
+    windows = stored(places.groupBy("window").agg(F.count("*").alias("times")), "windows")
+    there = parts_of(windows).join(dictionary, "gram", "left_semi")
     # parts from the front are at least as frequent, so the parts that are there have no gap
-    grown = there.groupBy("word", "place").agg(F.max("q").alias("q"))
-    return places.join(grown, ["word", "place"], "left").select(
-        "word", "n", "place", F.expr(f"substring(m, place, coalesce(q + 1, {shortest}))").alias("gram"))
+    grown = there.groupBy("window").agg(F.max("q").alias("q"))
+    grams = windows.join(grown, "window", "left").select("window", "times", F.expr(f"substring(window, 1, coalesce(q + 1, {SHORTEST}))").alias("gram"))
+    lists = grams.groupBy("gram").agg(F.sum("times").alias("frequency"))
+    named = stored(grams.join(lists, "gram").select("window", "gram", "frequency"), "named")
+    return places.join(named, "window").select("word", "n", "place", "gram", "frequency")
 
 
 def bounded(grams: DataFrame) -> DataFrame:
@@ -126,13 +136,11 @@ def bounded(grams: DataFrame) -> DataFrame:
     one lies between two, and what covers both covers either). ``prefix`` has the affected + 1 grams
     whose lists are shortest, as (frequency, gram, place).
     """
-    lists = grams.groupBy("gram").agg(F.count("*").alias("frequency"))
-    sized = grams.join(lists, "gram")
-    rows = sized.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("place", "gram", "frequency"))).alias("g"))  # a word's own grams
+    rows = grams.groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("place", "gram", "frequency"))).alias("g"))  # a word's own grams
     covering = "size(filter(g, x -> x.place <= i AND i < x.place + length(x.gram)))"
     counted = rows.select(
         "word", "n", F.length("word").alias("size"), "g",
-        F.expr(f"array_max(transform(sequence(2, length(word) + 1), i -> {covering}))").alias("affected"))
+        F.expr(f"array_max(transform(sequence(1, length(word)), i -> {covering}))").alias("affected"))
     return counted.select(
         "word", "n", "size", F.col("g.gram").alias("grams"), "affected",
         F.expr("slice(array_sort(transform(g, x -> struct(x.frequency, x.gram, x.place))), 1, affected + 1)").alias("prefix"))
@@ -153,15 +161,14 @@ def near_pairs(words: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     words share the rarest (by frequency, gram, place) has only changed grams before it on either
     side, so it lies in both prefixes.
     """
-    own = stored(bounded(decomposed(words, gram_dictionary(words, frequent))), "grams")
+    own = stored(bounded(decomposed(words, gram_dictionary(words, frequent))).withColumn("grams", F.expr("transform(grams, g -> hash(g))")), "grams")
     listed = own.select("word", "size", F.explode("prefix").alias("x")).select("word", "size", "x.gram", "x.place")
-    longer = listed.select(F.col("word").alias("b"), F.col("size").alias("at_size"), "gram", "place")
-    looking = listed.select(F.col("word").alias("a"), "size", "gram", "place", F.explode(F.array(
-        F.struct(F.col("size").alias("at_size"), F.lit(0).alias("shift")),
-        F.struct((F.col("size") + 1).alias("at_size"), F.lit(0).alias("shift")),
-        F.struct((F.col("size") + 1).alias("at_size"), F.lit(1).alias("shift")))).alias("y"))
-    looking = looking.select("a", "size", "gram", F.col("y.at_size").alias("at_size"), (F.col("place") + F.col("y.shift")).alias("place"))
-    met = looking.join(longer, ["gram", "place", "at_size"]).where("size < at_size OR a < b").select("a", "b").distinct()
+    # lists are named by a digest: words that meet by accident don't stand the counts below
+    longer = listed.select(F.col("word").alias("b"), F.col("size").alias("b_size"), F.xxhash64("gram", "place", "size").alias("list"))
+    looking = listed.select(F.col("word").alias("a"), "size", F.explode(F.array(
+        F.xxhash64("gram", "place", "size"), F.xxhash64("gram", "place", F.col("size") + 1),
+        F.xxhash64("gram", F.col("place") + 1, F.col("size") + 1))).alias("list"))
+    met = looking.join(longer, "list").where("b_size = size + 1 OR (b_size = size AND a < b)").select("a", "b").distinct()
     of = ("word", "n", "grams", "affected")
     both = met.join(own.select(*[F.col(c).alias(f"a_{c}") for c in of]), F.col("a") == F.col("a_word")).join(
         own.select(*[F.col(c).alias(f"b_{c}") for c in of]), F.col("b") == F.col("b_word"))
