@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import os
 import time
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tidemark.session import scratch
+
 # Columns of the result and their place in a SparkListenerTaskEnd event: fixed names.
 EVENT_METRICS = {
     "run_ms": "Executor Run Time",
@@ -37,24 +42,85 @@ EVENT_METRICS = {
 }
 
 
-def event_log_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """One row per finished task from an event log folder (JSON lines)."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    ends = lines.where(F.col("value").startswith('{"Event":"SparkListenerTaskEnd"'))
+def event_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of an event log: one file, a folder of rolling files, or a folder of many applications' logs.
+
+    Spark plans the scan by parts of files, cut between lines, on any file system; files that Spark
+    writes compressed by zstd have to be unpacked first. Status files of rolling logs are empty.
+    """
+    return spark.read.option("recursiveFileLookup", "true").text(path)
+
 
-    def at(json_path: str, kind: str) -> Column:
-        steps = "".join(f"['{p}']" for p in json_path.split("."))
-        return F.get_json_object("value", "$" + steps).cast(kind)
+def _at(json_path: str, kind: str) -> Column:
+    return F.get_json_object("value", "$" + "".join(f"['{p}']" for p in json_path.split("/"))).cast(kind)
 
-    return ends.select(
-        at("Stage ID", "int").alias("stage"),
-        at("Task Info.Index", "int").alias("partition"),
-        at("Task Info.Attempt", "int").alias("attempt"),
+
+def event_log_metrics(spark: SparkSession, path: str, group: str | None = None) -> DataFrame:
+    """One row per finished task attempt from an event log: stage, partition and its counters.
+
+    Counters that an attempt doesn't have (failed ones have none) are 0. With ``group``, only
+    stages of jobs of that job group.
+    """
+    lines = event_log_lines(spark, path)
+    ends = lines.where(F.col("value").startswith('{"Event":"SparkListenerTaskEnd"'))
+    tasks = ends.select(
+        _at("Stage ID", "int").alias("stage"),
+        _at("Task Info/Index", "int").alias("partition"),
+        _at("Task Info/Attempt", "int").alias("attempt"),
         *[
-            F.coalesce(at(f"Task Metrics.{p}", "bigint"), F.lit(0)).alias(c)
+            F.coalesce(_at("Task Metrics/" + p.replace("Metrics.", "Metrics/"), "bigint"), F.lit(0)).alias(c)
             for c, p in EVENT_METRICS.items()
         ],
     )
+    if group is None:
+        return tasks
+    jobs = lines.where(F.col("value").startswith('{"Event":"SparkListenerJobStart"'))
+    own = jobs.where(_at("Properties/spark.jobGroup.id", "string") == group).select(
+        F.explode(F.from_json(_at("Stage IDs", "string"), "array<int>")).alias("stage")).distinct()
+    return tasks.join(own, "stage", "left_semi")
+
+
+@dataclass(frozen=True)
+class Recording:
+    """Where the events of a recorded block are, and the job group of its jobs."""
+
+    spark: SparkSession
+    path: str
+    group: str
+
+    def tasks(self) -> DataFrame:
+        return event_log_metrics(self.spark, self.path, self.group)
+
+
+@contextmanager
+def recorded(spark: SparkSession, file_bytes: str = "32m") -> Iterator[Recording]:
+    """Write the events of the jobs run inside as a rolling event log in the shared folder.
+
+    For sessions that were started without one: a writer of Spark's event log is attached for the
+    time of the block. Jobs of other threads are in the log too; ``Recording.tasks`` leaves them out.
+    """
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    context = sc._jsc.sc()
+    path, group = scratch(spark, "events"), f"recorded-{uuid.uuid4().hex}"
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(folder)
+    conf = context.conf().clone()
+    for key, value in {"enabled": "true", "compress": "false", "rolling.enabled": "true", "rolling.maxFileSize": file_bytes}.items():
+        conf.set(f"spark.eventLog.{key}", value)
+    writer = jvm.org.apache.spark.scheduler.EventLoggingListener(
+        sc.applicationId, jvm.scala.Option.empty(), folder.toUri(), conf, sc._jsc.hadoopConfiguration())
+    writer.start()
+    context.addSparkListener(writer)
+    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    sc.setJobGroup(group, group)
+    try:
+        yield Recording(spark, path, group)
+    finally:
+        for key, value in before.items():
+            sc.setLocalProperty(key, value)
+        context.listenerBus().waitUntilEmpty()
+        context.removeSparkListener(writer)
+        writer.stop()
 
 
 _MEASURED = "stage int, partition int, attempt int, records bigint, bytes bigint, wall_us bigint, cpu_us bigint"
@@ -126,10 +192,3 @@ def timed(function, result: T.DataType):
         return pd.DataFrame([one(v) for v in values], columns=["value", "elapsed_us"])
 
     return run
-
-
-def event_log_folder(spark: SparkSession) -> str | None:
-    """Where this session writes its event log, if it does."""
-    if spark.conf.get("spark.eventLog.enabled", "false") != "true":
-        return None
-    return os.path.join(spark.conf.get("spark.eventLog.dir", "file:///tmp/spark-events"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.lineage import debug, latency, metrics, store
+from tidemark.lineage import debug, latency, metrics, store, taps
 from tidemark.lineage.frame import EDGE, ID, LineageFrame
 from tidemark.lineage.trace import input_ids, join_small, trace
 from tidemark.operators.ordering import number_copies
@@ -404,6 +404,72 @@ def _(t):
     return measured.df.select(f"{ID}.doc_id", "words", F.col("_cost").alias("elapsed_us"))
 
 
+def count_words(text: str | None) -> int:
+    return 0 if text is None else text.count(" ") + 1
+
+
+def timed_sources(t: Tables) -> tuple[taps.Tap, taps.Tap, LineageFrame]:
+    """A user function timed on every document, its results summed up by language and source and timed again, then by language."""
+    first = taps.tap(
+        LineageFrame.source(t.documents.select("doc_id", "lang", "source", "text"), "documents", ["doc_id"], verify=False),
+        count_words, "text", "words", "bigint")
+    by_source = first.frame.map("lang", "source", "words").aggregate(["lang", "source"], F.sum("words").alias("words"))
+    second = taps.tap(by_source, lambda n: n % 1000, "words", "rest", "bigint")
+    return first, second, second.frame.aggregate(["lang"], F.sum("words").alias("words"), F.sum("rest").alias("rest"))
+
+
+@query("ln29_measured_cost", """
+    SELECT doc_id, length(text) - length(replace(text, ' ', '')) + 1 AS words, CAST(1 AS BIGINT) AS inputs, true AS timed, true AS in_cost FROM documents""")
+def _(t):
+    """Times of records, written once: the record's cost is its time and its share of its task's."""
+    first, _, _ = timed_sources(t)
+    rows = first.frame.df.select(F.col(ID).alias("id"), "words", F.col("_cost").alias("cost"))
+    spent = F.col("spent_us") + F.col("share_us")
+    return rows.join(first.records, "id").select(
+        "id.doc_id", "words", "inputs", ((F.col("spent_us") > 0) & (F.col("share_us") > 0)).alias("timed"), (F.abs(F.col("cost") - spent) < 1e-6 * spent).alias("in_cost"))
+
+
+@query("ln29_carried_cost", """
+    SELECT lang, CAST(sum(length(text) - length(replace(text, ' ', '')) + 1) AS BIGINT) AS words, count(DISTINCT source) AS sources, true AS as_stored FROM documents GROUP BY 1""")
+def _(t):
+    """Measured times through two aggregates: the largest carried by the job equals that of the stored edges."""
+    _, _, by_lang = timed_sources(t)
+    carried = latency.carried_latency(by_lang).withColumnRenamed("latency", "carried")
+    stored_edges = latency.trace_latency(by_lang)
+    inputs = by_lang.inputs()[0].groupBy(F.col("out_id").alias("id")).agg(F.count("*").alias("sources"))
+    rows = by_lang.df.select(F.col(ID).alias("id"), "words")
+    same = F.abs(F.col("carried") - F.col("latency")) <= 1e-9 * F.col("carried")
+    return rows.join(carried, "id").join(stored_edges, "id").join(inputs, "id").select("id.lang", "words", "sources", (same & (F.col("carried") > 0)).alias("as_stored"))
+
+
+@query("ln32_measured_stage_time", """
+    SELECT lang, source, count(*) AS inputs, true AS shared FROM documents GROUP BY 1, 2""")
+def _(t):
+    """The measured time of an aggregate's tasks, dealt out to the outputs by their shares of the inputs."""
+    _, second, _ = timed_sources(t)
+    task = second.tasks.select("task", F.col("inputs").alias("all"), "rest_us")
+    wanted = F.col("rest_us") * F.col("inputs") / F.col("all")
+    return second.records.join(task, "task").select(
+        "id.*", "inputs", ((F.col("share_us") > 0) & (F.abs(F.col("share_us") - wanted) <= 1e-9 * wanted)).alias("shared"))
+
+
+@query("ln44_measured_slowest")
+def _(t):
+    """Documents ranked by what their removal would save of the measured time of a language."""
+    _, _, by_lang = timed_sources(t)
+    return latency.take_slowest(latency.removal(by_lang, "documents"), 10).select("id.*", "latency", "rm_latency", "impact")
+
+
+@query("ln50_measured_replay", "SELECT count(*) - 1 AS documents FROM documents")
+def _(t):
+    """The job again without the slowest document."""
+    first, _, by_lang = timed_sources(t)
+    slowest = latency.take_slowest(latency.removal(by_lang, "documents"), 1).select(F.col("id").alias(ID))
+    kept = by_lang.sources()["documents"].stage.origin.join(slowest, ID, "left_anti")
+    again = by_lang.rerun({"documents": kept})
+    return trace(again).back_to_sources().ids("documents").agg(F.count("*").alias("documents"))
+
+
 @query("ln30_split_latency", f"""
     SELECT doc_id, pos, round(n_chars / size, 6) AS even, CASE WHEN pos = 0 THEN CAST(n_chars AS DOUBLE) ELSE 0.0 END AS first_only
     FROM {WORDS}""")
@@ -624,6 +690,36 @@ def _(t):
     return metrics.stragglers(metrics.measured_tasks(shuffled_items(t)), ["records", "bytes", "wall_us"])
 
 
+def recorded_tasks(t: Tables):
+    """Counters of all tasks of a shuffled aggregate over the line items, from the event log of its own jobs."""
+    per_order = t.lineitem.repartition("l_suppkey").groupBy("l_orderkey").agg(F.sum("l_extendedprice").alias("total"))
+    with metrics.recorded(t.spark) as log:
+        per_order.write.format("noop").mode("overwrite").save()
+    return log.tasks()
+
+
+@query("ln47_event_log")
+def _(t):
+    return recorded_tasks(t)
+
+
+@query("ln47_event_log_records", "SELECT count(*) AS read_records, true AS shuffled, true AS all_read, true AS timed FROM lineitem")
+def _(t):
+    sums = recorded_tasks(t).agg(
+        F.sum("input_records").alias("read_records"), F.sum("shuffle_write_records").alias("written"), F.sum("shuffle_read_records").alias("fetched"),
+        F.sum("shuffle_write_bytes").alias("bytes"), F.sum(F.col("shuffle_local_bytes") + F.col("shuffle_remote_bytes")).alias("fetched_bytes"),
+        F.sum("cpu_ns").alias("cpu_ns"))
+    return sums.select(
+        "read_records", (F.col("written") >= F.col("read_records")).alias("shuffled"),
+        ((F.col("written") == F.col("fetched")) & (F.col("bytes") == F.col("fetched_bytes"))).alias("all_read"), (F.col("cpu_ns") > 0).alias("timed"))
+
+
+@query("ln48_event_log_stragglers")
+def _(t):
+    """Tasks far above the median of their stage in time, GC and bytes, for every stage of the log."""
+    return metrics.stragglers(recorded_tasks(t), ["run_ms", "gc_ms", "shuffle_write_bytes", "shuffle_local_bytes", "input_bytes"])
+
+
 FAULT = "total > 600000"
 
 

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import functions as F
 
-from tidemark.ml import training
+from tidemark.ml import patterns, training
 from tidemark.ml.text import all_words
 from tidemark.registry import query
 from tidemark.streaming.runner import file_stream
@@ -316,6 +316,37 @@ def _(t):
     return fpm.PrefixSpan(minSupport=0.1, maxPatternLength=2, sequenceCol="sequence").findFrequentSequentialPatterns(sequences)
 
 
+# one sequence per user; an item is a type of event in a band of two hours
+STEPS = """(SELECT user_id, event_type || '-' || CAST(floor(date_part('hour', ts) / 2) AS BIGINT) AS item,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"""
+
+
+def user_steps(t):
+    """(user_id, ts and event_id as step, item): whole sequences, in order of time."""
+    band = F.floor(F.hour("ts") / 2).cast("string")
+    return t.events_ts.select("user_id", F.struct("ts", "event_id").alias("step"), F.concat_ws("-", "event_type", band).alias("item"))
+
+
+def flat(patterns):
+    """Patterns as text: items of an element joined by +, elements by a blank."""
+    return patterns.select(F.array_join(F.transform("pattern", lambda e: F.array_join(e, "+")), " ").alias("pattern"), "n")
+
+
+@query("mo27_prefix_span_whole")
+def _(t):
+    """Patterns of up to ten items in whole sequences of users."""
+    return flat(patterns.sequential_patterns(user_steps(t), "user_id", "step", "item", 0.2))
+
+
+@query("mo27_prefix_span_pairs", f"""
+    WITH s AS {STEPS}, least AS (SELECT 0.2 * count(DISTINCT user_id) AS n FROM s)
+    SELECT item AS pattern, count(DISTINCT user_id) AS n FROM s GROUP BY 1 HAVING count(DISTINCT user_id) >= (SELECT n FROM least)
+    UNION ALL SELECT x.item || ' ' || y.item, count(DISTINCT x.user_id) FROM s AS x JOIN s AS y ON x.user_id = y.user_id AND x.pos < y.pos
+    GROUP BY x.item, y.item HAVING count(DISTINCT x.user_id) >= (SELECT n FROM least)""")
+def _(t):
+    return flat(patterns.sequential_patterns(user_steps(t), "user_id", "step", "item", 0.2, max_length=2))
+
+
 @query("mo28_cross_validation")
 def _(t):
     lr = C.LogisticRegression(maxIter=5)
