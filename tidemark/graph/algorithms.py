@@ -228,6 +228,20 @@ def transitive_closure(edges: DataFrame, max_rounds: int | None = None) -> DataF
     return reduce(DataFrame.union, known)
 
 
+def class_closure(graph: Graph) -> tuple[DataFrame, DataFrame]:
+    """The closure by classes: (id, component) of all vertices, and (src, dst) of classes with a path.
+
+    Vertices that reach one another are one class, named by its smallest id, so a path from a to b is
+    one from a's class to b's. A class reaches itself if it has several members or a loop. Joining
+    members to both sides gives all pairs of vertices, which is left to the caller.
+    """
+    members = stored(strongly_connected_components(graph), "classes")
+    one, two = members.toDF("src", "a"), members.toDF("dst", "b")
+    linked = stored(graph.edges.select("src", "dst").join(one, "src").join(two, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "class_links")
+    paths = transitive_closure(linked.where("src <> dst"))
+    return members, paths.union(linked.where("src = dst"))
+
+
 # ---- recommendation -------------------------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from tidemark.lineage.frame import COST, ID, TOTAL, LineageFrame
 from tidemark.operators.ordering import with_index
+from tidemark.session import stored
 
 
 def own_costs(frame: LineageFrame) -> DataFrame:
@@ -195,8 +196,9 @@ def slowest_inputs(state: DataFrame) -> DataFrame:
 
 def impact_by_output(state: DataFrame) -> DataFrame:
     """Each output's state with the impact of its slowest input over all outputs it is slowest of."""
-    same = Window.partitionBy("slowest")
-    return state.withColumn("impact", F.max("latency").over(same) - F.max("rm_latency").over(same))
+    kept = stored(state, "state")
+    impacts = kept.groupBy("slowest").agg((F.max("latency") - F.max("rm_latency")).alias("impact"))
+    return kept.join(impacts, "slowest").select(*state.columns, "impact")
 
 
 def take_slowest(state: DataFrame, n: int) -> DataFrame:

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BROADCAST_BITS = 1 << 29  # 64 MiB
-
 
 @dataclass(frozen=True)
 class BloomFilter:
@@ -39,30 +36,17 @@ class BloomFilter:
         return BloomFilter(both, self.bits, self.hashes)
 
     def test(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """Add a column: may ``key`` be in the set? Never false for a member."""
-        if self.bits > MAX_BROADCAST_BITS:
-            return self._test_by_join(df, key, name)
-        # one row of at most 64 MiB
-        packed = self.words.agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_m"))
-        full = packed.select(F.transform(
-            F.sequence(F.lit(0), F.lit(self.bits // 64 - 1)),
-            lambda w: F.coalesce(F.try_element_at("_m", w.cast("bigint")), F.lit(0).cast("bigint")),
-        ).alias("_bloom"))
-        hits = [
-            F.expr(f"_bloom[int(_p{i} >> 6)] >> int(_p{i} & 63)").bitwiseAND(F.lit(1)) == 1
-            for i in range(self.hashes)
-        ]
-        places = {f"_p{i}": p for i, p in enumerate(_places(F.col(key), self.bits, self.hashes))}
-        joined = df.crossJoin(F.broadcast(full)).withColumns(places)
-        return joined.withColumn(name, reduce(Column.__and__, hits)).drop("_bloom", *places)
-
-    def _test_by_join(self, df: DataFrame, key: str, name: str) -> DataFrame:
-        """For filters too large to broadcast: one equi-join per distinct key's bit places."""
-        keys = df.select(key).distinct()
-        probes = keys.select(key, F.explode(F.array(*_places(F.col(key), self.bits, self.hashes))).alias("p"))
+        """Add a column: may ``key`` be in the set? Never false for a member; a null key is a key.
+
+        Each distinct key's bit places meet their words in an equi-join, so no task and no broadcast
+        holds the filter.
+        """
+        keys = df.select(F.col(key).alias("_key")).distinct()
+        probes = keys.select("_key", F.explode(F.array(*_places(F.col("_key"), self.bits, self.hashes))).alias("p"))
         found = probes.withColumn("word", F.shiftright("p", 6)).join(self.words, "word", "left")
         bit = F.expr("coalesce(bits, 0L) >> int(p & 63)").bitwiseAND(F.lit(1)) == 1
-        return df.join(found.groupBy(key).agg(F.bool_and(bit).alias(name)), key, "left")
+        tested = found.groupBy("_key").agg(F.bool_and(bit).alias(name))
+        return df.join(tested, df[key].eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def _places(key: Column, bits: int, hashes: int) -> list[Column]:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators.pieces import map_groups
+from tidemark.operators import quantiles
 from tidemark.registry import query, same
 
 N = "nullif(l_linenumber % 3, 0)"
@@ -146,17 +147,33 @@ def _(t):
 
 @query("ag20_approx_percentile")
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(
-        F.percentile_approx("l_extendedprice", [0.1, 0.5, 0.9], 1000).alias("approx"),
-        F.percentile("l_extendedprice", F.lit(0.5)).alias("exact_median"))
+    approx = t.lineitem.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", [0.1, 0.5, 0.9], 1000).alias("approx"))
+    exact = quantiles.exact_quantiles(t.lineitem, "l_extendedprice", [0.5], ["l_returnflag"]).select(
+        F.col("l_returnflag").alias("_flag"), F.col("value").alias("exact_median"))
+    return approx.join(exact, F.col("l_returnflag").eqNullSafe(F.col("_flag"))).drop("_flag")
+
+
+@query("ag20_exact_median", "SELECT l_returnflag, quantile_disc(l_extendedprice, 0.5) AS exact_median FROM lineitem GROUP BY 1")
+def _(t):
+    return quantiles.exact_quantiles(t.lineitem, "l_extendedprice", [0.5], ["l_returnflag"]).select("l_returnflag", F.col("value").alias("exact_median"))
 
 
 @query("ag21_quantile_summary", """
     SELECT quantile_disc(l_quantity, 0.25) AS q1, quantile_disc(l_quantity, 0.5) AS q2, quantile_disc(l_quantity, 0.75) AS q3 FROM lineitem""")
 def _(t):
-    # with error 0 the summary is exact; it is merged from partition summaries
-    q = t.lineitem.approxQuantile("l_quantity", [0.25, 0.5, 0.75], 0.0)
-    return t.spark.createDataFrame([tuple(q)], "q1 double, q2 double, q3 double")
+    found = quantiles.exact_quantiles(t.lineitem, "l_quantity", [0.25, 0.5, 0.75])
+    return found.agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for s, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+
+
+@query("ag21_greenwald_khanna", "SELECT CAST(unnest([0.0, 0.1, 0.5, 0.9, 1.0]) AS DOUBLE) AS share, true AS within")
+def _(t):
+    """A merged summary of error 0.01: are the true ranks of its values that near to the wanted ones?"""
+    found = quantiles.quantiles_of(quantiles.summarised(t.lineitem, "l_extendedprice", 0.01), [0.0, 0.1, 0.5, 0.9, 1.0])
+    price = F.col("l_extendedprice")
+    ranks = t.lineitem.crossJoin(F.broadcast(found)).groupBy("share").agg(  # five rows
+        F.count("*").alias("n"), F.count_if(price < F.col("value")).alias("below"), F.count_if(price <= F.col("value")).alias("upto"))
+    rank, room = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n"))), 0.01 * F.col("n")
+    return ranks.select("share", ((F.col("below") + 1 - rank <= room) & (rank - F.col("upto") <= room)).alias("within"))
 
 
 same("ag22_group_by_ordinal", """

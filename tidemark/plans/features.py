@@ -8,6 +8,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tidemark.ml.text import all_words, term_counts, tf_idf
+from tidemark.operators import neighbours
 from tidemark.registry import query
 from tidemark.session import scratch
 
@@ -242,6 +243,19 @@ def _(t):
     return spread(model.transform(df), "c_custkey", "s")
 
 
+@query("ft28_feature_selector_modes")
+def _(t):
+    """Features that are kept by a share of all, and by the chance of a false choice."""
+    rows = t.customer.select("c_custkey", (F.col("c_nationkey") % 4).cast("double").alias("label"), "c_nationkey", (F.col("c_custkey") % 3).alias("k"), (F.col("c_acctbal") > 0).cast("int").alias("pos"))
+    df = M.VectorAssembler(inputCols=["c_nationkey", "k", "pos"], outputCol="v").transform(rows)
+    kept = []
+    for mode, threshold in (("percentile", 0.67), ("fpr", 0.001), ("fdr", 0.01), ("fwe", 0.01)):
+        selector = M.UnivariateFeatureSelector(featuresCol="v", labelCol="label", outputCol="s", selectionMode=mode)
+        model = selector.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(threshold).fit(df)
+        kept.append((mode, sorted(int(i) for i in model.selectedFeatures)))
+    return t.spark.createDataFrame(kept, "mode string, features array<int>")
+
+
 @query("ft29_minhash_lsh")
 def _(t):
     """Near word sets that share a hash. Equal sets are counted first and joined as one row each,
@@ -259,10 +273,17 @@ def _(t):
 
 @query("ft30_random_projection_lsh")
 def _(t):
-    df = vectors(t)
-    model = M.BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=2, seed=5).fit(df)
-    near = model.approxNearestNeighbors(df, Vectors.dense([0.1] * 64), 10, "distance")
-    return near.select("vec_id", "distance")
+    asked = t.spark.range(1).select("id", F.array_repeat(F.lit(0.1), 64).alias("v"))
+    near = neighbours.nearest(t.embeddings, "vec_id", "embedding", asked, "id", "v", 10, reach=1.1)
+    return near.select(F.col("key").alias("vec_id"), "distance")
+
+
+@query("ft30_nearest_of_rows")
+def _(t):
+    """The ten nearest vectors of every twentieth one, itself left out."""
+    asked = t.embeddings.where("vec_id % 20 = 0")
+    near = neighbours.nearest(t.embeddings, "vec_id", "embedding", asked, "vec_id", "embedding", 11, reach=1.2)
+    return near.where("query <> key").select("query", "key", "distance", "place")
 
 
 @query("ft31_pipeline")

@@ -294,6 +294,16 @@ def _(t):
     return A.transitive_closure(links(t).edges)
 
 
+@query("gx26_closure_classes", f"""
+    WITH RECURSIVE {VERTS}, {WITH_E}, p(src, dst) AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON e.src = p.dst),
+    c AS (SELECT v.id, least(v.id, coalesce(min(b.dst), v.id)) AS component FROM v LEFT JOIN (
+        SELECT x.src, x.dst FROM p AS x JOIN p AS y ON x.src = y.dst AND x.dst = y.src) AS b ON b.src = v.id GROUP BY v.id)
+    SELECT DISTINCT x.component AS src, y.component AS dst FROM p JOIN c AS x ON x.id = p.src JOIN c AS y ON y.id = p.dst""")
+def _(t):
+    """Paths between classes of customers that reach one another, over all links; ``gx19_.._all_links`` has the members."""
+    return A.class_closure(links(t))[1]
+
+
 @query("gx27_star", "SELECT c_custkey AS src, 0::BIGINT AS dst FROM customer WHERE c_custkey > 0")
 def _(t):
     return A.star(vertices(t).select("id"))

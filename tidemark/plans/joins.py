@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranges import point_in_range
 from tidemark.operators.skew import broadcast_checked, skew_join
+from tidemark.operators import neighbours
 from tidemark.registry import query, same
 from tidemark.streaming.runner import file_stream, run_append
 
@@ -208,15 +207,10 @@ def _(t):
     """Pairs of near vectors: candidates share a random-projection bucket, then exact distance.
     Equal vectors are joined as one row, so copies do not pair up with one another."""
     distinct = t.embeddings.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    vectors = distinct.select("vec_id", "copies", array_to_vector("embedding").alias("v"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=3, seed=7
-    ).fit(vectors)
-    pairs = model.approxSimilarityJoin(vectors, vectors, 1.1, "distance")
-    return pairs.where("datasetA.vec_id < datasetB.vec_id").select(
-        F.col("datasetA.vec_id").alias("a"), F.col("datasetB.vec_id").alias("b"),
-        (F.col("datasetA.copies") * F.col("datasetB.copies")).alias("pairs"), F.round("distance", 6).alias("distance")
-    )
+    found = neighbours.near_pairs(distinct, "vec_id", "embedding", 1.1, recall=0.97)
+    copies = distinct.select("vec_id", "copies")
+    return found.join(copies.toDF("a", "copies_a"), "a").join(copies.toDF("b", "copies_b"), "b").select(
+        "a", "b", (F.col("copies_a") * F.col("copies_b")).alias("pairs"), F.round("distance", 6).alias("distance"))
 
 
 @query("jo24_stream_static", """

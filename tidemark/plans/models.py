@@ -10,9 +10,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import functions as F
 
-from tidemark.ml import patterns, training
+from tidemark.ml import patterns, streaming, training
 from tidemark.ml.text import all_words
 from tidemark.registry import query
+from tidemark.session import scratch
 from tidemark.streaming.runner import file_stream
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -118,6 +119,13 @@ def _(t):
     return predictions(C.NaiveBayes(smoothing=1.0, modelType="multinomial").fit(df), df, "o_orderkey")
 
 
+@query("mo08_naive_bayes_bernoulli")
+def _(t):
+    rows = flag_rows(t).withColumn("label", F.ascii("o_orderstatus").cast("double") % 3).withColumns({c: (F.col(c) > 0).cast("double") for c in FLAGS})
+    df = VectorAssembler(inputCols=FLAGS, outputCol="features").transform(rows)
+    return predictions(C.NaiveBayes(smoothing=1.0, modelType="bernoulli").fit(df), df, "o_orderkey")
+
+
 @query("mo09_decision_tree")
 def _(t):
     return predictions(C.DecisionTreeClassifier(maxDepth=5, seed=1).fit(digits(t)), digits(t))
@@ -140,6 +148,18 @@ def _(t):
     return predictions(C.GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(halves(t)), halves(t))
 
 
+@query("mo11_boosted_regression")
+def _(t):
+    """Regression by squared and by absolute loss: mean error of either."""
+    df = regression_rows(t)
+    found = None
+    for loss in ("squared", "absolute"):
+        done = R.GBTRegressor(maxIter=5, maxDepth=3, seed=1, lossType=loss).fit(df).transform(df)
+        row = done.agg(F.lit(loss).alias("loss"), F.count("*").alias("n"), F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("error"))
+        found = row if found is None else found.union(row)
+    return found
+
+
 @query("mo12_impurity", """
     WITH c AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2),
     p AS (SELECT o_orderstatus, n, n / sum(n) OVER (PARTITION BY o_orderstatus) AS p FROM c)
@@ -184,6 +204,11 @@ def _(t):
     return model.transform(digits(t)).select("vec_id", "prediction")
 
 
+@query("mo17_k_means_random")
+def _(t):
+    return K.KMeans(k=8, seed=1, maxIter=10, initMode="random").fit(digits(t)).transform(digits(t)).select("vec_id", "prediction")
+
+
 @query("mo18_bisecting_k_means")
 def _(t):
     return K.BisectingKMeans(k=6, seed=1, maxIter=10).fit(digits(t)).transform(digits(t)).select("vec_id", "prediction")
@@ -217,29 +242,46 @@ def _(t):
 
 @query("mo22_streaming_k_means")
 def _(t):
-    first = np.array([r.embedding for r in t.embeddings.orderBy("vec_id").limit(4).collect()], dtype=np.float64)  # k rows
-    model = training.StreamingKMeans(first, decay=0.9)
-    training.train_on(file_stream(t, "embeddings"), lambda b, n: model.update(b, n, "embedding"))
-    return t.spark.createDataFrame(model.history, "batch int, n bigint, moved double")
+    first = [[float(x) for x in r.embedding] for r in t.embeddings.orderBy("vec_id").limit(4).collect()]  # k rows
+    states = streaming.States(t.spark, scratch(t.spark, "centres"))
+    states.start({"centres": first, "weights": [0.0] * len(first)})
+    streaming.train(file_stream(t, "embeddings"), states, streaming.k_means_step("embedding", decay=0.9), scratch(t.spark, "train"))
+    return states.history().select(F.col("batch").cast("int").alias("batch"), "n", "moved")
 
 
 def scaled(df):
-    return df.select((F.col("value") / 100).alias("label"), (F.col("user_id") / 100).alias("u"), (F.hour("ts") / 24).alias("h"))
+    return df.select("event_id", (F.col("value") / 100).alias("label"), (F.col("user_id") / 100).alias("u"), (F.hour("ts") / 24).alias("h"))
+
+
+def trained(t, rows, step):
+    """(batch, n, weights) of a streaming regression on two features."""
+    states = streaming.States(t.spark, scratch(t.spark, "weights"))
+    states.start({"weights": [0.0] * 3})
+    streaming.train(rows, states, step, scratch(t.spark, "train"))
+    weights = F.from_json("parameters", "weights array<double>")["weights"]
+    return states.history().select(F.col("batch").cast("int").alias("batch"), "n", weights.alias("weights"))
 
 
 @query("mo23_streaming_regression")
 def _(t):
-    model = training.StreamingLinear("label", ["u", "h"], step=0.3)
-    training.train_on(scaled(file_stream(t, "events")), model.update)
-    return t.spark.createDataFrame(model.history, "batch int, n bigint, weights array<double>")
+    return trained(t, scaled(file_stream(t, "events")), streaming.linear_step("label", ["u", "h"], rate=0.3))
 
 
 @query("mo23_streaming_logistic")
 def _(t):
     rows = scaled(file_stream(t, "events")).withColumn("label", (F.col("label") > 0.35).cast("double"))
-    model = training.StreamingLinear("label", ["u", "h"], step=0.5, logistic=True)
-    training.train_on(rows, model.update)
-    return t.spark.createDataFrame(model.history, "batch int, n bigint, weights array<double>")
+    return trained(t, rows, streaming.linear_step("label", ["u", "h"], rate=0.5, logistic=True))
+
+
+@query("mo23_predict_on", "SELECT event_id, round(value / 100, 9) AS label, true AS predicted FROM events")
+def _(t):
+    """Every event predicted by the model as it was before the event's batch."""
+    states = streaming.States(t.spark, scratch(t.spark, "weights"))
+    states.start({"weights": [0.0] * 3})
+    found = streaming.predict_on(
+        scaled(file_stream(t, "events")), states, streaming.linear_step("label", ["u", "h"], rate=0.3), scratch(t.spark, "train"), scratch(t.spark, "predicted"),
+        "event_id", "label", ["u", "h"])
+    return found.select("event_id", F.round("label", 9).alias("label"), F.col("prediction").isNotNull().alias("predicted"))
 
 
 def ratings(t):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.antijoin import not_in
 from tidemark.registry import query, same
 
 
@@ -149,15 +150,23 @@ def _(t):
     )
 
 
-same("pr17_in_subquery", """
+@query("pr17_in_subquery", """
     SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 50)
       AND p_size NOT IN (SELECT l_linenumber FROM lineitem)""")
+def _(t):
+    full = t.lineitem.where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
+    return not_in(t.part.join(full, "p_partkey", "left_semi"), "p_size", t.lineitem, "l_linenumber").select("p_partkey", "p_name")
+
 
-same("pr17_not_in_with_nulls", """
+@query("pr17_not_in_with_nulls", """
     SELECT (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (
                 SELECT nullif(c_nationkey, 3) FROM customer WHERE c_acctbal > 9800)) AS none_with_null,
            (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (
                 SELECT c_nationkey FROM customer WHERE c_acctbal > 9800)) AS some_without""")
+def _(t):
+    rich = t.customer.where("c_acctbal > 9800").select("c_nationkey", F.expr("nullif(c_nationkey, 3)").alias("nulled"))
+    counts = [not_in(t.nation, "n_nationkey", rich, c).agg(F.count("*").alias(name)) for c, name in (("nulled", "none_with_null"), ("c_nationkey", "some_without"))]
+    return counts[0].crossJoin(F.broadcast(counts[1]))  # one row each
 
 same("pr18_having", """
     SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
