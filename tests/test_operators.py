@@ -150,7 +150,7 @@ def test_estimates_cover_the_truth(spark):
         assert got[what].low <= truth <= got[what].high
 
 
-def test_bloom_filter(spark, monkeypatch):
+def test_bloom_filter(spark):
     members = spark.range(0, 3000, 3).toDF("k")
     bloom = BloomFilter.build(members, "k", 1000, 0.02)
     keys = spark.range(3000).toDF("k")
@@ -158,9 +158,6 @@ def test_bloom_filter(spark, monkeypatch):
     assert all(got[k] for k in range(0, 3000, 3))
     wrong = sum(got[k] for k in range(3000) if k % 3)
     assert wrong < 0.04 * 2000
-    monkeypatch.setattr("tidemark.operators.sketches.MAX_BROADCAST_BITS", 1)
-    joined = {r.k: r.maybe for r in bloom.test(keys, "k", "maybe").collect()}
-    assert joined == got
 
 
 def test_count_min(spark):
