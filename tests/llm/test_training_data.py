@@ -11,6 +11,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import (
     archives, contamination, jaccard, language_model, mixing, quality_net, repeats, risk_rules, sharding, token_codes)
 from tidemark.llm.common import Bits
@@ -252,19 +254,91 @@ def test_language_model(docs, rows, empty):
 def test_language_model_is_a_distribution():
     rng = np.random.default_rng(0)
     words = [b"the", b"tree", b"house", b"\n", b"unseen"]
-    customers = np.array([50, 7, 1, 9, 0])
     keys, starts = language_model.spelled(words)
     spelling = language_model.seat_spelling(*np.unique(keys, return_counts=True), language_model.Spelling.uniform(), rng)
     for context in (0, 256 * 257 + 256, 256 * 257 + ord("t")):
         total = spelling.of(context * 257 + np.arange(257)).sum()
         assert abs(total - 1) < 1e-9
-    model = language_model.Model(int(customers.sum()), 0.5, 1.0, 1, [])
-    sample = language_model.Sample(0, spelling, 4)
-    tables, p = model.seated(sample, customers, keys, starts, (0, 0))
-    assert ((tables >= 1) == (customers > 0)).all() and (tables <= customers).all()
-    sample.tables, sample.known = int(tables.sum()), float(p[:4].sum())
-    model.samples.append(sample)
-    assert abs((10 ** model.log10(words, customers, (0, 0))).sum() - 1) < 1e-9
+    p = np.exp(np.add.reduceat(np.log(spelling.of(keys)), starts))
+    after = np.array([[20, 3, 0, 4, 0], [30, 4, 1, 5, 0], [0, 0, 0, 0, 0]])  # customers by context, the last never trained
+    tables = np.zeros_like(after)
+    for row in range(2):
+        seen = after[row] > 0
+        tables[row, seen] = language_model.sweep_dishes(after[row, seen], 0.5, p[seen], rng)
+    assert ((tables >= 1) == (after > 0)).all() and (tables <= after).all()
+    customers = tables.sum(0)
+    seats = np.zeros(5, np.int64)
+    seats[customers > 0] = language_model.sweep_dishes(customers[customers > 0], 0.4, p[customers > 0], rng)
+    chances = language_model.chances(customers, seats, p, customers > 0, (customers.sum(), seats.sum(), p[:4].sum(), 0.4, 1.0))
+    assert abs(chances.sum() - 1) < 1e-9
+    for row in range(3):
+        there = (after[row] - 0.5 * tables[row] + (1.0 + 0.5 * tables[row].sum()) * chances) / (1.0 + after[row].sum())
+        assert (there > 0).all() and abs(there.sum() - 1) < 1e-9
+
+
+def test_customers_taken_out_and_seated_again_have_the_exact_law():
+    """All ways to seat a dish's customers, by brute force, against many dishes that went through Gibbs steps."""
+    def law(n, discount, weight):
+        ways = Counter()
+
+        def seat(sizes, left, mass):
+            if not left:
+                ways[len(sizes)] += mass
+                return
+            for i, size in enumerate(sizes):
+                seat(sizes[:i] + [size + 1] + sizes[i + 1:], left - 1, mass * (size - discount))
+            seat([*sizes, 1], left - 1, mass * weight)
+
+        seat([1], n - 1, weight)
+        total = sum(ways.values())
+        return [ways[t] / total for t in range(1, n + 1)]
+
+    rng = np.random.default_rng(5)
+    for n, discount, weight in ((2, 0.3, 0.5), (4, 0.6, 0.2), (6, 0.1, 2.0)):
+        many = np.full(40_000, n)
+        start = rng.integers(1, n + 1, len(many))
+        found = language_model.reseat(many, start, discount, np.full(len(many), weight), 30, rng)
+        assert np.abs(np.bincount(found, minlength=n + 1)[1:] / len(many) - law(n, discount, weight)).max() < 0.015
+    mixed = language_model.reseat(np.array([2, 1000, 7]), np.array([2, 1, 7]), 0.5, np.array([1e-9, 1e9, 1e-9]), 64, rng)
+    assert mixed[0] == 1 and 50 < mixed[1] <= 65 and 1 <= mixed[2] <= 2  # hardly any new table, nearly all new ones
+
+
+def test_language_model_knows_the_order_of_words(spark):
+    """Texts of a chain of words: seen and unseen ones score better than in the plain model, shuffled ones worse; as many cells as there may be change little."""
+    rng = np.random.default_rng(8)
+    names = [f"w{i}" for i in range(40)]
+
+    def text():
+        at, out = int(rng.integers(40)), []
+        for _ in range(60):
+            out.append(names[at])
+            at = (at * 7 + int(rng.integers(3))) % 40
+        return out
+
+    texts = [text() for _ in range(300)]
+    rows = [(i, i % 5 == 1, " ".join(t)) for i, t in enumerate(texts)]
+    rows += [(1000 + i, True, " ".join(rng.permutation(t))) for i, t in enumerate(texts) if i % 5 == 1]
+    rows += [(2000, True, "never seen words"), (None, True, None), (2001, True, "w1 " * 100_000), (2001, True, "w1 " * 100_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, held boolean, text string").repartition(3)
+    found = {r["doc_id"]: r for r in language_model.score_texts(df).collect()}
+    assert len(found) == len(rows) - 1
+    for i in range(300):
+        assert found[i]["score"] > found[i]["base_score"]
+        if i % 5 == 1:
+            assert found[i]["score"] > found[1000 + i]["score"]
+    assert found[2000]["n_known"] == 1 and found[2000]["n_tokens"] == 4 and found[None]["n_tokens"] == 1
+    assert found[2001]["n_tokens"] == 100_001
+    many = {r["doc_id"]: r["score"] for r in language_model.score_texts(df, cell=500).collect()}
+    assert len(many) == len(found)
+    assert all(abs(many[i] / found[i]["score"] - 1) < 0.05 for i in range(300))
+    nothing = language_model.score_texts(df.withColumn("held", F.lit(True))).collect()
+    assert len(nothing) == len(rows) and all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in nothing)
+
+
+def test_language_model_on_documents(spark):
+    found = language_model.score_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    for held, score, base in found.groupBy("held_out").agg(F.sum("score"), F.sum("base_score")).collect():
+        assert score > base
 
 
 def test_jaccard(docs, rows, empty):

@@ -1,24 +1,29 @@
 """A hierarchical Pitman-Yor language model whose restaurants are seated by Gibbs sampling.
 
-Words sit in one restaurant that is learned from all training texts: a word has as many customers
-as occurrences, and each of its tables sends one customer to its spelling. Spellings are sequences
-of bytes with restaurants per context of two, one and no bytes before; a table of a longer context
-sends a customer to the next shorter one, so contexts that end alike share their parent. Under the
-shortest lies the uniform distribution over bytes and the end of a word.
-
-One sweep seats all customers anew, words in the tasks that hold them, spellings (whose tables have
-257 x 257 x 257 cells at most) on the driver, given the predictive probabilities of the sweep
-before. Predictive probabilities are averaged over the sweeps behind the first ones.
-
-How a text meets the model: texts are cut into chunks of some MB, whose words are numbered in the
-chunk. The vocabulary keeps for each word the chunks that have it, so only (chunk, number, score)
-rows and the chunks' packed numbers are exchanged, not tokens.
+Three levels of restaurants share parents. Each word that comes before another is a context with a
+restaurant of its own, whose customers are the training tokens after it; each of its tables sends
+one customer to the restaurant of words, which all contexts share; each table there sends one to
+the word's spelling, a sequence of bytes with restaurants per context of two, one and no bytes. The
+first word of a text comes after a text's end.
+
+A sweep seats every dish of every restaurant given the sweep before (its parent's probability of
+the dish, and the tables of its own restaurant): it starts from customers that came in one by one,
+then takes customers out of their tables and seats them again, each of a dish's customers once on
+average and at most ``VISITS`` of them. Predictive probabilities are averaged over the sweeps
+behind the first ones.
+
+Where the rows are. Texts are cut into chunks of some MB with their distinct words numbered. Words
+are dealt to G slices by hash, and pairs of words to G * G cells by the slices of both, so that a
+frequent word's pairs lie in G or more cells and no cell grows with one word; G grows with the root
+of the tokens. Chunks send their distinct pairs to the cells once, cells seat them and send the
+slices sums of tables per word, slices seat the words and send back probabilities, all as packed
+arrays. At the end cells send each chunk its pairs' customers and tables, and slices its words'.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,26 +37,72 @@ from tidemark.llm.common import LOWER, binary_column, column_like, fold, pieces
 from tidemark.session import stored
 
 CHUNK = 20 << 20  # bytes of texts whose words are numbered together
-SWEEPS, BURN = 4, 1
+CELL = 1 << 20  # tokens per cell of pairs, on average
+SWEEPS, BURN = 3, 1
 STRENGTH, SPELL_DISCOUNT = 1.0, 0.5
 SYMBOLS = 257  # bytes, and the border of a word
 BORDER = 256
 END = b"\n"  # the end of a text as a token; no word has this byte
-BLOCK = 32  # beyond 32 customers, 1/32 of them are seated at a time
+BLOCK = 32  # the start seats 1/32 of a dish's customers at a time beyond 32 of them
+VISITS = 32  # customers of a dish that a sweep takes out and seats again, at most
 
 
-# ---- chunks ----------------------------------------------------------------------------------
+# ---- rows of packed arrays -------------------------------------------------------------------
 
+ROW = "key bigint, kind int, other bigint, data array<binary>"
+_ROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("other", pa.int64()), ("data", pa.list_(pa.binary()))])
+TEXT, WORDS, LINK, PAIRS, PLACES, FOLLOWERS, VISITORS, TABLES, CHANCES = range(9)
+Row = tuple[int, int, int, list[bytes]]
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed."""
-    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
+def pack(numbers: np.ndarray, kind: str = "<i8") -> bytes:
+    """Numbers as planes of bytes, compressed; planes of zeros cost nothing."""
+    values = np.ascontiguousarray(numbers, kind)
+    planes = values.view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+def unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_sorted(numbers: np.ndarray) -> bytes:
+    return pack(np.diff(numbers, prepend=0))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data))
+
+
+def _batch(rows: Iterable[Row]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROW.types)], schema=_ROW)
+
+
+def by_key(rows: DataFrame, work: Callable[[int, list[tuple[int, int, list[bytes]]]], Iterator[Row]]) -> DataFrame:
+    """``work`` on the rows of each key, in the order of kind and other; keys must stay small enough for a task."""
+
+    def run(batches):
+        key, held = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and row["key"] != key:
+                    if out := list(work(key, held)):
+                        yield _batch(out)
+                    held = []
+                key = row["key"]
+                held.append((row["kind"], row["other"], row["data"]))
+        if held and (out := list(work(key, held))):
+            yield _batch(out)
+
+    return rows.repartition("key").sortWithinPartitions("key", "kind", "other").mapInArrow(run, ROW)
+
+
+def of_kind(rows: DataFrame, *kinds: int) -> DataFrame:
+    return rows.where(F.col("kind").isin(*kinds))
+
+
+# ---- chunks and words ------------------------------------------------------------------------
 
 
 class _Numbers(dict):
@@ -60,19 +111,17 @@ class _Numbers(dict):
         return number
 
 
-CUT = "chunk bigint, doc_ids array<bigint>, held array<boolean>, lengths array<bigint>, numbers binary, local array<int>, words array<binary>, times array<bigint>"
+CUT = f"{ROW}, tokens bigint, local array<int>, words array<binary>, times array<bigint>"
+_CUT = pa.schema([*_ROW, ("tokens", pa.int64()), ("local", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """One row per chunk with its documents and packed token numbers, and rows with its words and how often they train."""
-    names = [f.split()[0] for f in CUT.split(", ")]
-    kinds = pa.schema([("chunk", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.list_(pa.int64())),
-                       ("numbers", pa.binary()), ("local", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
+    """One TEXT row per chunk with its documents and token numbers, and rows with its words and how often they train."""
 
     def run(batches):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            texts, ids, held = binary_column(batch, "text"), column_like(batch, "doc_id").to_pylist(), column_like(batch, "held").to_pylist()
+            texts, ids, held = binary_column(batch, "text"), column_like(batch, "doc_id"), column_like(batch, "held").to_numpy(zero_copy_only=False).astype(bool)
             for a, b in pieces(np.array([len(t) for t in texts], np.int64), CHUNK):
                 number = _Numbers({END: 0})
                 get, parts = number.__getitem__, []
@@ -82,26 +131,103 @@ def cut(docs: DataFrame) -> DataFrame:
                     parts.append(np.fromiter(map(get, words), np.uint32, len(words)))
                 lengths = np.array([len(p) for p in parts])
                 tokens = np.concatenate(parts)
-                train = np.bincount(tokens[np.repeat(~np.array(held[a:b], bool), lengths)], minlength=len(number))
+                train = np.bincount(tokens[np.repeat(~held[a:b], lengths)], minlength=len(number))
                 order = np.argsort(-np.bincount(tokens, minlength=len(number)), kind="stable")  # frequent words get small numbers
                 rank = np.empty(len(order), np.uint32)
                 rank[order] = np.arange(len(order))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, [chunk, ids[a:b], held[a:b], lengths.tolist(), pack(rank[tokens]), None, None, None]))], kinds)
+                some = ids.slice(a, b - a)
+                data = [pack(rank[tokens], "<u4"), pack(lengths), pack(held[a:b], "u1"), pack(some.cast(pa.int64()).fill_null(0).to_numpy(), "<i8"), pack(some.is_null().to_numpy(zero_copy_only=False), "u1")]
+                yield pa.RecordBatch.from_pylist([dict(key=chunk, kind=TEXT, other=0, data=data, tokens=len(tokens))], _CUT)
                 words = list(number)
                 for c in range(0, len(order), 20_000):
-                    some = order[c:c + 20_000].tolist()
-                    row = [chunk, None, None, None, None, list(range(c, c + len(some))), [words[i] for i in some], train[some].tolist()]
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, row))], kinds)
+                    few = order[c:c + 20_000].tolist()
+                    yield pa.RecordBatch.from_pylist([dict(key=chunk, kind=WORDS, other=c, local=list(range(c, c + len(few))), words=[words[i] for i in few], times=train[few].tolist())], _CUT)
                 chunk += 1
 
     return docs.select("doc_id", "held", "text").mapInArrow(run, CUT)
 
 
-def vocabulary(cut_rows: DataFrame) -> DataFrame:
-    """(word, customers, at): each word's training occurrences, and its number in each chunk that has it."""
-    each = cut_rows.where("words is not null").select("chunk", F.explode(F.arrays_zip("local", "words", "times")).alias("w"))
-    return each.select("chunk", "w.*").groupBy(F.col("words").alias("word")).agg(
-        F.sum("times").alias("customers"), F.collect_list(F.struct("chunk", "local")).alias("at"))  # one per chunk at most
+def slices(cut_rows: DataFrame, g: int) -> DataFrame:
+    """Per slice a WORDS row (words in order, training occurrences) and a LINK row per chunk (places in the slice, numbers in the chunk)."""
+    each = cut_rows.where("words is not null").select("key", F.explode(F.arrays_zip("local", "words", "times")).alias("w")).select(
+        F.pmod(F.xxhash64("w.words"), F.lit(g)).alias("slice"), F.col("w.words").alias("word"), "w.times", F.struct(F.col("key").alias("chunk"), "w.local").alias("at"))
+    words = each.repartition("slice").groupBy("slice", "word").agg(F.sum("times").alias("customers"), F.collect_list("at").alias("at"))
+
+    def whole(key, words, customers, counts, chunks, locals_):
+        yield key, WORDS, 0, [zstandard.compress(b" ".join(words)), pack(np.concatenate(customers))]
+        places, chunks, locals_ = np.repeat(np.arange(len(words)), np.concatenate(counts)), np.concatenate(chunks), np.concatenate(locals_)
+        order = np.argsort(chunks, kind="stable")
+        borders = np.flatnonzero(np.diff(chunks[order], prepend=-1))
+        for a, b in zip(borders, [*borders[1:], len(order)]):
+            yield key, LINK, int(chunks[order[a]]), [pack_sorted(places[order[a:b]]), pack(locals_[order[a:b]])]
+
+    def run(batches):
+        key, held = None, ([], [], [], [], [])
+        for batch in batches:
+            every = column_like(batch, "slice").to_numpy()
+            borders = np.flatnonzero(np.diff(every, prepend=-1))
+            for a, b in zip(borders, [*borders[1:], batch.num_rows]):
+                if held[0] and every[a] != key:
+                    yield _batch(whole(key, *held))
+                    held = ([], [], [], [], [])
+                key, part = int(every[a]), batch.slice(a, b - a)
+                at = column_like(part, "at")
+                flat = at.flatten()
+                held[0].extend(binary_column(part, "word"))
+                for to, values in zip(held[1:], (column_like(part, "customers").to_numpy(), at.value_lengths().to_numpy(), flat.field("chunk").to_numpy(), flat.field("local").to_numpy())):
+                    to.append(values)
+        if held[0]:
+            yield _batch(whole(key, *held))
+
+    return words.sortWithinPartitions("slice", "word").mapInArrow(run, ROW)
+
+
+def words_of(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ")
+
+
+def _numbered(rows: list, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Of a chunk's TEXT and LINK rows: its distinct pairs' cells and keys in order, which pair each token is, training tokens, the pairs' words, the text."""
+    text = next(d for k, _, d in rows if k == TEXT)
+    links = [(s, unpack_sorted(d[0]), unpack(d[1])) for k, s, d in rows if k == LINK]
+    n = sum(len(p) for _, p, _ in links)
+    of, place = np.empty(n, np.int64), np.empty(n, np.int64)
+    for s, places, locals_ in links:
+        of[locals_], place[locals_] = s, places
+    tokens, lengths = unpack(text[0], "<u4").astype(np.int64), unpack(text[1])
+    before = np.concatenate([[0], tokens[:-1]])
+    before[np.cumsum(lengths) - lengths] = tokens[-1]  # each text ends with END, and comes after one
+    pairs, which = np.unique(before << 32 | tokens, return_inverse=True)
+    u, w = pairs >> 32, pairs & 0xFFFFFFFF
+    cells, keys = of[u] * g + of[w], place[u] << 32 | place[w]
+    order = np.lexsort((keys, cells))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return cells[order], keys[order], rank[which], np.repeat(unpack(text[2], "u1") == 0, lengths), pairs[order], text
+
+
+def cells_of(rows: DataFrame, g: int) -> DataFrame:
+    """PAIRS rows per cell (keys in order, training occurrences), and a PLACES row per cell and chunk: where the chunk's pairs are among them."""
+
+    def send(chunk, held):
+        cells, keys, which, train, _, _ = _numbered(held, g)
+        times = np.bincount(which[train], minlength=len(keys))
+        borders = np.flatnonzero(np.diff(cells, prepend=-1))
+        for a, b in zip(borders, [*borders[1:], len(cells)]):
+            yield int(cells[a]), PAIRS, chunk, [pack_sorted(keys[a:b]), pack(times[a:b])]
+
+    def merge(cell, held):
+        each = [unpack_sorted(d[0]) for _, _, d in held]
+        keys, places = np.unique(np.concatenate(each), return_inverse=True)
+        times = np.zeros(len(keys), np.int64)
+        np.add.at(times, places, np.concatenate([unpack(d[1]) for _, _, d in held]))
+        yield cell, PAIRS, 0, [pack_sorted(keys), pack(times)]
+        at = 0
+        for (_, chunk, _), own in zip(held, each):
+            yield cell, PLACES, chunk, [pack_sorted(places[at:at + len(own)])]
+            at += len(own)
+
+    return by_key(by_key(rows, send), merge)
 
 
 # ---- seating ---------------------------------------------------------------------------------
@@ -129,6 +255,48 @@ def seat(customers: np.ndarray, discount: float, weight: np.ndarray, rng: np.ran
     return tables
 
 
+def reseat(customers: np.ndarray, tables: np.ndarray, discount: float, weight: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after ``rounds`` Gibbs steps: a random customer is taken out and seated again given the others.
+
+    All dishes have two customers or more. They start with one large table and single guests at
+    the other ones. The customer sits at a table of n with probability proportional to n -
+    discount, at a new one to ``weight``.
+    """
+    tables = tables.astype(np.int64)
+    room = np.minimum(customers, tables + rounds)
+    first = np.cumsum(room) - room
+    sizes = np.zeros(int(room.sum()), np.int64)
+    sizes[np.repeat(first, tables) + np.arange(tables.sum()) - np.repeat(np.cumsum(tables) - tables, tables)] = 1
+    sizes[first] += customers - tables
+    for _ in range(rounds):
+        reach = np.cumsum(sizes)
+        k = np.searchsorted(reach, reach[first] - sizes[first] + rng.integers(0, customers), "right")
+        sizes[k] -= 1
+        gone = np.flatnonzero(sizes[k] == 0)
+        last = first[gone] + tables[gone] - 1
+        sizes[k[gone]], sizes[last] = sizes[last], 0  # its place goes to the last table
+        tables[gone] -= 1
+        mass = customers - 1 - discount * tables
+        fresh = rng.random(len(tables)) * (weight + mass) < weight
+        shares = sizes - discount * (sizes > 0)
+        reach = np.cumsum(shares)
+        k = np.searchsorted(reach, reach[first] - shares[first] + rng.random(len(tables)) * mass, "right")
+        k = np.where(fresh, first + tables, np.clip(k, first, first + tables - 1))
+        sizes[k] += 1
+        tables += fresh
+    return tables
+
+
+def sweep_dishes(customers: np.ndarray, discount: float, weight: np.ndarray, rng: np.random.Generator, visits: int = VISITS) -> np.ndarray:
+    """Tables of each dish after one sweep; dishes of like numbers of customers go through as many steps as those."""
+    tables = seat(customers, discount, weight, rng)
+    size = np.frexp(customers.astype(float))[1]
+    for bits in np.unique(size[customers > 1]):
+        here = np.flatnonzero((size == bits) & (customers > 1))
+        tables[here] = reseat(customers[here], tables[here], discount, weight[here], int(min(visits, 1 << int(bits))), rng)
+    return tables
+
+
 @dataclass
 class Spelling:
     """Predictive probabilities of the byte restaurants: seen cells by sorted key, and what falls back on shorter contexts."""
@@ -195,152 +363,252 @@ def seat_spelling(keys: np.ndarray, customers: np.ndarray, before: Spelling, rng
 
 @dataclass
 class Sample:
-    """What a word's seating and probability depend on in one sweep."""
-
-    number: int
-    spelling: Spelling
-    before_tables: int
-    tables: int = 0
-    known: float = 0.0  # probability that the spelling gives to all training words together
+    """What one sweep leaves: the parts of a word's probability that all words share, and where its rows are."""
 
-
-@dataclass
-class Model:
-    customers: int
+    customers: int  # of the restaurant of words
+    tables: int
+    known: float  # probability that the spelling gives to all training words together
     discount: float
     strength: float
-    seed: int
-    samples: list[Sample]
-
-    def seated(self, sample: Sample, customers: np.ndarray, keys: np.ndarray, starts: np.ndarray, place: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Tables of words and the probabilities of their spellings; the same for the same place (task, batch) of a stored vocabulary, so a lost task seats them alike."""
-        p = np.exp(np.add.reduceat(np.log(sample.spelling.of(keys)), starts))
-        rng = np.random.default_rng([self.seed, sample.number, *place])
-        return seat(customers, self.discount, (self.strength + self.discount * sample.before_tables) * p, rng), p
-
-    def log10(self, words: list[bytes], customers: np.ndarray, place: tuple[int, int]) -> np.ndarray:
-        """The averaged predictive probability of words; of one that never trained, that of any such word.
-
-        So a text's probability is that of its words with all unknown ones taken as one, as in the
-        plain model that it is held against.
-        """
-        keys, starts = spelled(words)
-        total = np.zeros(len(words))
-        for s in self.samples:
-            tables, p = self.seated(s, customers, keys, starts, place)
-            p = np.where(customers > 0, p, max(1e-12, 1 - s.known))
-            total += (customers - self.discount * tables + (self.strength + self.discount * s.tables) * p) / (self.strength + self.customers)
-        return np.log10(total / len(self.samples))
-
-
-def _batches(fields: str, make: Callable):
+    words: DataFrame  # per slice: TABLES (followers' tables as a context, customers, tables, spelled probabilities)
+    pairs: DataFrame  # per cell: TABLES
+
+    def shares(self) -> tuple[int, int, float, float, float]:
+        return self.customers, self.tables, self.known, self.discount, self.strength
+
+
+def chances(customers: np.ndarray, tables: np.ndarray, spelled_as: np.ndarray, trained: np.ndarray, shares: tuple) -> np.ndarray:
+    """A word's probability where no context is known; that of a word that never trained is that of all such words together, as in the plain model."""
+    total, total_tables, known, discount, strength = shares
+    p = np.where(trained, spelled_as, max(1e-12, 1 - known))
+    return (customers - discount * tables + (strength + discount * total_tables) * p) / (strength + total)
+
+
+def _after(rng_key: list[int]) -> np.random.Generator:
+    return np.random.default_rng(rng_key)  # named by seed, sweep and key, so a lost task seats alike
+
+
+def sweep_pairs(cells: DataFrame, messages: DataFrame, g: int, discount: float, strength: float, seed: list[int]) -> DataFrame:
+    """Seats all context restaurants: TABLES per cell, and per cell the sums of tables by context (FOLLOWERS) and by word (VISITORS) for the slices."""
+
+    def work(cell, held):
+        found = {kind: data for kind, _, data in held}
+        if PAIRS not in found:
+            return
+        keys, times = unpack_sorted(found[PAIRS][0]), unpack(found[PAIRS][1])
+        u, w = keys >> 32, keys & 0xFFFFFFFF
+        weight = (strength + discount * unpack(found[FOLLOWERS][0])[u]) * unpack(found[CHANCES][0], "<f4")[w]
+        tables = np.zeros(len(keys), np.int64)
+        seen = np.flatnonzero(times)
+        tables[seen] = sweep_dishes(times[seen], discount, weight[seen], _after([*seed, cell]))
+        yield cell, TABLES, 0, [pack(tables)]
+        yield cell // g, FOLLOWERS, cell, [pack(np.bincount(u, tables))]
+        yield cell % g, VISITORS, cell, [pack(np.bincount(w, tables))]
+
+    return by_key(of_kind(cells, PAIRS).unionByName(messages), work)
+
+
+def _sums(held: list, kind: int, n: int) -> np.ndarray:
+    total = np.zeros(n, np.int64)
+    for k, _, data in held:
+        if k == kind:
+            part = unpack(data[0])
+            total[:len(part)] += part
+    return total
+
+
+def sweep_words(words: DataFrame, sent: DataFrame, spelling: Spelling, tables_before: int, discount: float, strength: float, seed: list[int]) -> DataFrame:
+    """Seats the restaurant of words, whose customers are the contexts' tables."""
+
+    def work(key, held):
+        data = next(d for k, _, d in held if k == WORDS)
+        texts = words_of(data[0])
+        customers = _sums(held, VISITORS, len(texts))
+        spells, starts = spelled(texts)
+        p = np.exp(np.add.reduceat(np.log(spelling.of(spells)), starts))
+        tables = np.zeros(len(texts), np.int64)
+        seen = np.flatnonzero(customers)
+        tables[seen] = sweep_dishes(customers[seen], discount, (strength + discount * tables_before) * p[seen], _after([*seed, key]))
+        yield key, TABLES, 0, [pack(_sums(held, FOLLOWERS, len(texts))), pack(customers), pack(tables), pack(p, "<f4")]
+
+    return by_key(of_kind(words, WORDS).unionByName(of_kind(sent, FOLLOWERS, VISITORS)), work)
+
+
+def spelling_customers(words: DataFrame, seated: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """Customers of the byte restaurants, at most 257 ** 3 sums, and under -3, -2 and -1 those of words, the known probability and the tables."""
+
+    def work(key, held):
+        found = {kind: data for kind, _, data in held}
+        texts = words_of(found[WORDS][0])
+        customers, tables, p = unpack(found[TABLES][1]), unpack(found[TABLES][2]), unpack(found[TABLES][3], "<f4").astype(float)
+        spells, starts = spelled(texts)
+        cells, where = np.unique(spells, return_inverse=True)
+        sums = np.bincount(where, np.repeat(tables, np.diff(np.append(starts, len(spells)))), len(cells))
+        some = sums > 0
+        yield 0, PAIRS, 0, [pack(np.concatenate([cells[some], [-3, -2, -1]])), pack(np.concatenate([sums[some], [customers.sum(), p[customers > 0].sum(), tables.sum()]]), "<f8")]
+
+    def opened(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(unpack(row["data"][0])), pa.array(unpack(row["data"][1], "<f8"))], ["cell", "n"])
+
+    rows = by_key(of_kind(words, WORDS).unionByName(seated), work).mapInArrow(opened, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    cells, sums = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(cells)
+    cells, sums = cells[order], sums[order]
+    return cells[cells >= 0], sums[cells >= 0].astype(np.int64), dict(zip(cells[cells < 0].tolist(), sums[cells < 0].tolist()))
+
+
+def messages_of(words: DataFrame, g: int, values: Callable[[dict], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Each slice's tables as contexts to the cells of its row, its words' probabilities to those of its column."""
+
+    def work(key, held):
+        followers, p = values({kind: data for kind, _, data in held})
+        left, right = [pack(followers)], [pack(p, "<f4")]
+        for other in range(g):
+            yield key * g + other, FOLLOWERS, 0, left
+            yield other * g + key, CHANCES, 0, right
+
+    return by_key(words, work)
+
+
+def discount_of(once: int, twice: int) -> float:
+    return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+
+
+def _facts(rows: DataFrame, kind: int) -> dict[str, int]:
+    """Of the training counts in rows of a kind: their sum, and how many are over zero, one and two."""
+
     def run(batches):
-        task = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            if batch.num_rows:
-                yield make(batch, binary_column(batch, "word"), column_like(batch, "customers").to_numpy(), (task, number))
-
-    return lambda df: df.mapInArrow(run, fields)
-
-
-def fit(words: DataFrame, seed: int = 11, sweeps: int = SWEEPS, burn: int = BURN, strength: float = STRENGTH) -> Model:
-    """Gibbs sweeps over a stored vocabulary; each gathers the byte restaurants' customers, at most 257 ** 3 sums."""
-    trained = words.select("word", "customers")
-    row = trained.agg(
-        F.sum("customers").alias("n"), F.count(F.when(F.col("customers") > 0, 1)).alias("types"), F.count(F.when(F.col("customers") == 1, 1)).alias("once"),
-        F.count(F.when(F.col("customers") == 2, 1)).alias("twice")).first()
-    discount = min(0.95, max(0.1, row["once"] / max(1, row["once"] + 2 * row["twice"])))
-    model = Model(row["n"] or 0, discount, strength, seed, [])
-    spelling, tables = Spelling.uniform(), row["types"]
+        for batch in batches:
+            for row in batch.to_pylist():
+                n = unpack(row["data"][1])
+                yield pa.RecordBatch.from_pylist([dict(n=int(n.sum()), types=int((n > 0).sum()), once=int((n == 1).sum()), twice=int((n == 2).sum()))])
+
+    names = ("n", "types", "once", "twice")
+    found = of_kind(rows, kind).mapInArrow(run, "n bigint, types bigint, once bigint, twice bigint").agg(*[F.sum(c).alias(c) for c in names]).first()
+    return {c: found[c] or 0 for c in names}
+
+
+def fit(words: DataFrame, cells: DataFrame, g: int, facts: dict[str, int], seed: int = 11, sweeps: int = SWEEPS, burn: int = BURN, strength: float = STRENGTH) -> tuple[float, list[Sample]]:
+    """The contexts' discount, and the samples of Gibbs sweeps over stored words and pairs."""
+    pairs = _facts(cells, PAIRS)
+    pair_discount, word_discount = discount_of(pairs["once"], pairs["twice"]), discount_of(facts["once"], facts["twice"])
+    floor = facts["n"] + 0.5 * (facts["types"] + 1)
+
+    def at_first(found):
+        customers = unpack(found[WORDS][1])
+        return np.ceil(customers ** 0.7), (customers + 0.5) / floor
+
+    messages, spelling, tables, samples = messages_of(of_kind(words, WORDS), g, at_first), Spelling.uniform(), facts["types"], []
     for sweep in range(sweeps):
-        sample = Sample(sweep, spelling, tables)
-
-        def gather(batch, texts, customers, place, sample=sample):
-            keys, starts = spelled(texts)
-            seats, p = model.seated(sample, customers, keys, starts, place)
-            sent = np.repeat(seats, np.diff(np.concatenate([starts, [len(keys)]])))
-            cells, where = np.unique(keys, return_inverse=True)
-            sums = np.bincount(where, sent, len(cells))
-            some = sums > 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([cells[some], [-2, -1]])), pa.array(np.concatenate([sums[some], [p[customers > 0].sum(), seats.sum()]]))], ["cell", "n"])
-
-        gathered = _batches("cell bigint, n double", gather)(trained).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-        cells, sums = gathered.column("cell").to_numpy(), gathered.column("n").to_numpy()
-        sample.known, sample.tables = float(sums[cells == -2].sum()), int(sums[cells == -1].sum())
-        order = np.argsort(cells)
-        order = order[cells[order] >= 0]
-        if len(order):
-            spelling = seat_spelling(cells[order], sums[order].astype(np.int64), spelling, np.random.default_rng([seed, sweep]), strength=strength)
-        tables = sample.tables
+        sent = stored(sweep_pairs(cells, messages, g, pair_discount, strength, [seed, sweep, 0]), "pairs")
+        seated = stored(sweep_words(words, sent, spelling, tables, word_discount, strength, [seed, sweep, 1]), "words")
+        keys, customers, sums = spelling_customers(words, seated)
+        sample = Sample(int(sums.get(-3, 0)), int(sums.get(-1, 0)), sums.get(-2, 0.0), word_discount, strength, seated, of_kind(sent, TABLES))
+        if len(keys):
+            spelling = seat_spelling(keys, customers, spelling, np.random.default_rng([seed, sweep]), strength=strength)
+        tables, shares = sample.tables, sample.shares()
         if sweep >= burn:
-            model.samples.append(sample)
-    return model
+            samples.append(sample)
+
+        def of_sweep(found, shares=shares):
+            followers, customers, seats, p = (unpack(d, k) for d, k in zip(found[TABLES], ("<i8", "<i8", "<i8", "<f4")))
+            return followers, chances(customers, seats, p, customers > 0, shares)
+
+        messages = messages_of(seated, g, of_sweep)
+    return pair_discount, samples
 
 
 # ---- texts -----------------------------------------------------------------------------------
 
 
-def score_texts(docs: DataFrame, seed: int = 11) -> DataFrame:
+def _tagged(rows: DataFrame, number: int) -> DataFrame:
+    return rows.withColumn("other", F.lit(number).cast("bigint"))
+
+
+SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
+
+
+def score_texts(docs: DataFrame, seed: int = 11, cell: int = CELL) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
 
     ``docs`` has doc_id, held (whether the document is kept out of training) and text. Null and
-    empty texts are their end alone; repeated rows train and are scored each; a null id is fine;
-    an empty table gives no rows. Without training texts words are scored by the uniform spelling.
+    empty texts are their end alone; very long ones are a chunk by themselves; repeated rows train
+    and are scored each; a null id is fine; an empty table gives no rows. Without training texts
+    words are all unknown.
     """
     chunks = stored(cut(docs), "chunks")
-    words = stored(vocabulary(chunks), "vocabulary")
-    model = fit(words, seed)
-    types = words.where("customers > 0").count()
-    total = model.customers
-    floor = math.log10(total + 0.5 * (types + 1))
-
-    def rate(batch, texts, customers, place):
-        scores = model.log10(texts, customers, place)
-        base = np.log10(customers + 0.5) - floor
-        at = column_like(batch, "at")
-        counts = np.diff(at.offsets.to_numpy())
-        flat = at.flatten()
-        return pa.RecordBatch.from_arrays(
-            [flat.field("chunk"), flat.field("local"), pa.array(np.repeat(customers > 0, counts)), pa.array(np.repeat(base, counts)), pa.array(np.repeat(scores, counts))],
-            ["chunk", "local", "known", "base", "score"])
-
-    # the words are read in the same order and batches as in the sweeps: "at" rides along
-    rated = _batches("chunk bigint, local int, known boolean, base double, score double", rate)(words.select("word", "customers", "at"))
-    texts = chunks.where("numbers is not null").select("chunk", "doc_ids", "held", "lengths", "numbers")
-    # empty instead of null: a batch of null lists costs the square of its rows on the way to Python
-    void = texts.schema
-    rated = rated.select("*", *(F.array().cast(void[c].dataType).alias(c) for c in ("doc_ids", "held", "lengths")), F.lit(b"").alias("numbers"))
-    both = rated.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.length("numbers") > 0)
-
-    def add_up(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+    g = max(1, math.ceil(math.sqrt((chunks.agg(F.sum("tokens")).first()[0] or 0) / cell)))
+    words = stored(slices(chunks, g), "slices")
+    facts = _facts(words, WORDS)
+    texts = of_kind(chunks, TEXT).select("key", "kind", "other", "data")
+    links = of_kind(words, LINK).select(F.col("other").alias("key"), "kind", F.col("key").alias("other"), "data")
+    cells = stored(cells_of(texts.unionByName(links), g), "cells")
+    discount, samples = fit(words, cells, g, facts, seed)
+    shares, strength = [s.shares() for s in samples], STRENGTH
+
+    def to_chunks(key, held):
+        customers = unpack(next(d for k, _, d in held if k == WORDS)[1])
+        found = []
+        for n, data in ((n, d) for k, n, d in held if k == TABLES):
+            followers, seats_of, seats, p = (unpack(d, k) for d, k in zip(data, ("<i8", "<i8", "<i8", "<f4")))
+            found += [(followers, "<i8"), (chances(seats_of, seats, p, customers > 0, shares[n]), "<f4")]
+        for kind, chunk, data in held:
+            if kind == LINK:
+                places = unpack_sorted(data[0])
+                yield chunk, LINK, key, [*data, pack(customers[places]), *(pack(v[places], k) for v, k in found)]
+
+    def pairs_to_chunks(key, held):
+        times = unpack(next(d for k, _, d in held if k == PAIRS)[1])
+        tables = [unpack(d[0]) for k, _, d in held if k == TABLES]
+        for kind, chunk, data in held:
+            if kind == PLACES:
+                places = unpack_sorted(data[0])
+                yield chunk, PAIRS, key, [pack(times[places]), *(pack(t[places]) for t in tables)]
+
+    back = by_key(words.unionByName(_all(_tagged(s.words, n) for n, s in enumerate(samples))), to_chunks)
+    pairs = by_key(cells.unionByName(_all(_tagged(s.pairs, n) for n, s in enumerate(samples))), pairs_to_chunks)
+    floor = math.log10(facts["n"] + 0.5 * (facts["types"] + 1))
+
+    def add_up(chunk, held):
+        _, _, which, _, ends, text = _numbered(held, g)
+        n = sum(len(unpack(d[1])) for k, _, d in held if k == LINK)
+        customers, followers, p = np.zeros(n, np.int64), np.zeros((len(shares), n)), np.zeros((len(shares), n))
+        for kind, _, data in held:
+            if kind == LINK:
+                at = unpack(data[1])
+                customers[at] = unpack(data[2])
+                for i in range(len(shares)):
+                    followers[i, at], p[i, at] = unpack(data[3 + 2 * i]), unpack(data[4 + 2 * i], "<f4")
+        found = [[unpack(v) for v in d] for k, _, d in held if k == PAIRS]  # by cell, as the pairs are
+        times, *tables = (np.concatenate(v) for v in zip(*found))
+        u, w = ends >> 32, ends & 0xFFFFFFFF
+        total = np.zeros(len(ends))
+        for i, seats in enumerate(tables):
+            total += (times - discount * seats + (strength + discount * followers[i][u]) * p[i][w]) / (strength + customers[u])
+        score, base, known = np.log10(total / len(tables)), np.log10(customers + 0.5)[w] - floor, (customers > 0)[w]
+        lengths = unpack(text[1])
+        starts = np.cumsum(lengths) - lengths
+        sums = [np.add.reduceat(v[which].astype(k), starts) for v, k in ((known, np.int64), (base, float), (score, float))]
+        yield chunk, TEXT, 0, [text[3], text[4], text[2], pack(lengths), pack(sums[0]), pack(sums[1], "<f8"), pack(sums[2], "<f8")]
+
+    def opened(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = {n: column_like(batch, n) for n in batch.schema.names}
-            packed = np.diff(np.frombuffer(columns["numbers"].buffers()[1], np.int32, batch.num_rows + 1, columns["numbers"].offset * 4)) > 0
-            borders = [0, *(np.flatnonzero(packed) + 1).tolist(), batch.num_rows]
-            for a, b in zip(borders[:-1], borders[1:]):
-                last = b - 1 if b > a and packed[b - 1] else b
-                if last > a:
-                    held.append(tuple(columns[n].slice(a, last - a).to_numpy(zero_copy_only=False) for n in ("local", "known", "base", "score")))
-                if last == b:
-                    continue
-                local, known, base, score = (np.concatenate([h[i] for h in held]) for i in range(4))
-                held = []
-                place = np.empty(len(local), np.int64)
-                place[local.astype(np.int64)] = np.arange(len(local))
-                tokens = place[unpack(columns["numbers"][last].as_py())]
-                lengths = np.array(columns["lengths"][last].as_py(), np.int64)
-                starts = np.cumsum(lengths) - lengths
-                sums = [np.add.reduceat(v[tokens].astype(k), starts) for v, k in ((known, np.int64), (base, np.float64), (score, np.float64))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns["doc_ids"][last].as_py(), pa.int64()), pa.array(columns["held"][last].as_py(), pa.bool_()), pa.array(lengths), *map(pa.array, sums)],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    out = both.mapInArrow(add_up, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("bigint").alias("train_tokens"), "base_score", "score")
+            for row in batch.to_pylist():
+                ids, void, held, lengths, known, base, score = (unpack(d, k) for d, k in zip(row["data"], ("<i8", "u1", "u1", "<i8", "<i8", "<f8", "<f8")))
+                columns = [pa.array(ids, mask=void > 0), pa.array(held > 0), *map(pa.array, (lengths, known, base, score))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    out = by_key(texts.unionByName(back).unionByName(pairs), add_up).mapInArrow(opened, SCORED)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+def _all(frames: Iterable[DataFrame]) -> DataFrame:
+    whole, *others = frames
+    for frame in others:
+        whole = whole.unionByName(frame)
+    return whole
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
