@@ -8,14 +8,14 @@ first word of a text comes after a text's end.
 
 A sweep seats every dish of every restaurant given the sweep before (its parent's probability of
 the dish, and the tables of its own restaurant): it starts from customers that came in one by one,
-then takes customers out of their tables and seats them again, each of a dish's customers once on
-average and at most ``VISITS`` of them. Predictive probabilities are averaged over the sweeps
+then takes customers out of their tables and seats them again, at least half as many
+times as the dish has customers and at most ``VISITS`` times. Predictive probabilities are averaged over the sweeps
 behind the first ones.
 
 Where the rows are. Texts are cut into chunks of some MB with their distinct words numbered. Words
 are dealt to G slices by hash, and pairs of words to G * G cells by the slices of both, so that a
 frequent word's pairs lie in G or more cells and no cell grows with one word; G grows with the root
-of the tokens. Chunks send their distinct pairs to the cells once, cells seat them and send the
+of the bytes. Chunks send their distinct pairs to the cells once, cells seat them and send the
 slices sums of tables per word, slices seat the words and send back probabilities, all as packed
 arrays. At the end cells send each chunk its pairs' customers and tables, and slices its words'.
 """
@@ -25,6 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from tidemark.llm.common import LOWER, binary_column, column_like, fold, pieces
 from tidemark.session import stored
 
 CHUNK = 20 << 20  # bytes of texts whose words are numbered together
-CELL = 1 << 20  # tokens per cell of pairs, on average
+CELL = 6 << 20  # bytes of text per cell of pairs, on average
 SWEEPS, BURN = 3, 1
 STRENGTH, SPELL_DISCOUNT = 1.0, 0.5
 SYMBOLS = 257  # bytes, and the border of a word
@@ -51,7 +52,7 @@ VISITS = 32  # customers of a dish that a sweep takes out and seats again, at mo
 
 ROW = "key bigint, kind int, other bigint, data array<binary>"
 _ROW = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("other", pa.int64()), ("data", pa.list_(pa.binary()))])
-TEXT, WORDS, LINK, PAIRS, PLACES, FOLLOWERS, VISITORS, TABLES, CHANCES = range(9)
+TEXT, WORDS, LINK, PAIRS, PLACES, FOLLOWERS, VISITORS, TABLES, CHANCES, SPELLED = range(10)
 Row = tuple[int, int, int, list[bytes]]
 
 
@@ -111,82 +112,71 @@ class _Numbers(dict):
         return number
 
 
-CUT = f"{ROW}, tokens bigint, local array<int>, words array<binary>, times array<bigint>"
-_CUT = pa.schema([*_ROW, ("tokens", pa.int64()), ("local", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
-
-
-def cut(docs: DataFrame) -> DataFrame:
-    """One TEXT row per chunk with its documents and token numbers, and rows with its words and how often they train."""
+def cut(docs: DataFrame, g: int) -> DataFrame:
+    """A TEXT row per chunk with its documents and token numbers, and a WORDS row per slice and chunk: the chunk's words there, their numbers and training occurrences."""
+
+    def rows(chunk, texts, ids, held):
+        number = _Numbers({END: 0})
+        get, parts = number.__getitem__, []
+        for text in texts:
+            words = text.translate(LOWER).split()
+            words.append(END)
+            parts.append(np.fromiter(map(get, words), np.uint32, len(words)))
+        lengths = np.array([len(p) for p in parts])
+        tokens = np.concatenate(parts)
+        train = np.bincount(tokens[np.repeat(~held, lengths)], minlength=len(number))
+        order = np.argsort(-np.bincount(tokens, minlength=len(number)), kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        void = ids.is_null().to_numpy(zero_copy_only=False)
+        yield chunk, TEXT, 0, [pack(rank[tokens], "<u4"), pack(lengths), pack(held, "u1"), pack(ids.cast(pa.int64()).fill_null(0).to_numpy()), pack(void, "u1")]
+        words = list(number)
+        slices = np.fromiter(map(crc32, words), np.int64, len(words)) % g
+        by_slice = np.argsort(slices, kind="stable")
+        for s, some in zip(*_groups(slices[by_slice], by_slice)):
+            yield int(s), WORDS, chunk, [zstandard.compress(b" ".join([words[i] for i in some.tolist()]), 1), pack(rank[some]), pack(train[some])]
 
     def run(batches):
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts, ids, held = binary_column(batch, "text"), column_like(batch, "doc_id"), column_like(batch, "held").to_numpy(zero_copy_only=False).astype(bool)
             for a, b in pieces(np.array([len(t) for t in texts], np.int64), CHUNK):
-                number = _Numbers({END: 0})
-                get, parts = number.__getitem__, []
-                for text in texts[a:b]:
-                    words = text.translate(LOWER).split()
-                    words.append(END)
-                    parts.append(np.fromiter(map(get, words), np.uint32, len(words)))
-                lengths = np.array([len(p) for p in parts])
-                tokens = np.concatenate(parts)
-                train = np.bincount(tokens[np.repeat(~held[a:b], lengths)], minlength=len(number))
-                order = np.argsort(-np.bincount(tokens, minlength=len(number)), kind="stable")  # frequent words get small numbers
-                rank = np.empty(len(order), np.uint32)
-                rank[order] = np.arange(len(order))
-                some = ids.slice(a, b - a)
-                data = [pack(rank[tokens], "<u4"), pack(lengths), pack(held[a:b], "u1"), pack(some.cast(pa.int64()).fill_null(0).to_numpy(), "<i8"), pack(some.is_null().to_numpy(zero_copy_only=False), "u1")]
-                yield pa.RecordBatch.from_pylist([dict(key=chunk, kind=TEXT, other=0, data=data, tokens=len(tokens))], _CUT)
-                words = list(number)
-                for c in range(0, len(order), 20_000):
-                    few = order[c:c + 20_000].tolist()
-                    yield pa.RecordBatch.from_pylist([dict(key=chunk, kind=WORDS, other=c, local=list(range(c, c + len(few))), words=[words[i] for i in few], times=train[few].tolist())], _CUT)
+                yield _batch(rows(chunk, texts[a:b], ids.slice(a, b - a), held[a:b]))
                 chunk += 1
 
-    return docs.select("doc_id", "held", "text").mapInArrow(run, CUT)
+    return docs.select("doc_id", "held", "text").mapInArrow(run, ROW)
 
 
-def slices(cut_rows: DataFrame, g: int) -> DataFrame:
-    """Per slice a WORDS row (words in order, training occurrences) and a LINK row per chunk (places in the slice, numbers in the chunk)."""
-    each = cut_rows.where("words is not null").select("key", F.explode(F.arrays_zip("local", "words", "times")).alias("w")).select(
-        F.pmod(F.xxhash64("w.words"), F.lit(g)).alias("slice"), F.col("w.words").alias("word"), "w.times", F.struct(F.col("key").alias("chunk"), "w.local").alias("at"))
-    words = each.repartition("slice").groupBy("slice", "word").agg(F.sum("times").alias("customers"), F.collect_list("at").alias("at"))
+def _groups(keys: np.ndarray, *columns: np.ndarray) -> tuple:
+    """The distinct keys of sorted ones, and each column cut accordingly."""
+    borders = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[borders], *(np.split(c, borders[1:]) for c in columns)
 
-    def whole(key, words, customers, counts, chunks, locals_):
-        yield key, WORDS, 0, [zstandard.compress(b" ".join(words)), pack(np.concatenate(customers))]
-        places, chunks, locals_ = np.repeat(np.arange(len(words)), np.concatenate(counts)), np.concatenate(chunks), np.concatenate(locals_)
-        order = np.argsort(chunks, kind="stable")
-        borders = np.flatnonzero(np.diff(chunks[order], prepend=-1))
-        for a, b in zip(borders, [*borders[1:], len(order)]):
-            yield key, LINK, int(chunks[order[a]]), [pack_sorted(places[order[a:b]]), pack(locals_[order[a:b]])]
 
-    def run(batches):
-        key, held = None, ([], [], [], [], [])
-        for batch in batches:
-            every = column_like(batch, "slice").to_numpy()
-            borders = np.flatnonzero(np.diff(every, prepend=-1))
-            for a, b in zip(borders, [*borders[1:], batch.num_rows]):
-                if held[0] and every[a] != key:
-                    yield _batch(whole(key, *held))
-                    held = ([], [], [], [], [])
-                key, part = int(every[a]), batch.slice(a, b - a)
-                at = column_like(part, "at")
-                flat = at.flatten()
-                held[0].extend(binary_column(part, "word"))
-                for to, values in zip(held[1:], (column_like(part, "customers").to_numpy(), at.value_lengths().to_numpy(), flat.field("chunk").to_numpy(), flat.field("local").to_numpy())):
-                    to.append(values)
-        if held[0]:
-            yield _batch(whole(key, *held))
-
-    return words.sortWithinPartitions("slice", "word").mapInArrow(run, ROW)
+def slices(chunks: DataFrame) -> DataFrame:
+    """Per slice a WORDS row (its words, training occurrences) and a LINK row per chunk (places in the slice, numbers in the chunk)."""
+
+    def work(key, held):
+        number = _Numbers()
+        get, places, times = number.__getitem__, [], []
+        for _, _, data in held:
+            words = words_of(data[0])
+            places.append(np.fromiter(map(get, words), np.int64, len(words)))
+            times.append(unpack(data[2]))
+        customers = np.bincount(np.concatenate(places), np.concatenate(times))
+        yield key, WORDS, 0, [zstandard.compress(b" ".join(number)), pack(customers)]
+        for (_, chunk, data), place in zip(held, places):
+            order = np.argsort(place)
+            yield key, LINK, chunk, [pack_sorted(place[order]), pack(unpack(data[1])[order])]
+
+    return by_key(of_kind(chunks, WORDS), work)
 
 
 def words_of(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split(b" ")
 
 
-def _numbered(rows: list, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+def _numbered(rows: list, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple, list[bytes]]:
     """Of a chunk's TEXT and LINK rows: its distinct pairs' cells and keys in order, which pair each token is, training tokens, the pairs' words, the text."""
     text = next(d for k, _, d in rows if k == TEXT)
     links = [(s, unpack_sorted(d[0]), unpack(d[1])) for k, s, d in rows if k == LINK]
@@ -197,13 +187,17 @@ def _numbered(rows: list, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     tokens, lengths = unpack(text[0], "<u4").astype(np.int64), unpack(text[1])
     before = np.concatenate([[0], tokens[:-1]])
     before[np.cumsum(lengths) - lengths] = tokens[-1]  # each text ends with END, and comes after one
-    pairs, which = np.unique(before << 32 | tokens, return_inverse=True)
-    u, w = pairs >> 32, pairs & 0xFFFFFFFF
-    cells, keys = of[u] * g + of[w], place[u] << 32 | place[w]
-    order = np.lexsort((keys, cells))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return cells[order], keys[order], rank[which], np.repeat(unpack(text[2], "u1") == 0, lengths), pairs[order], text
+    ordered = np.lexsort((place, of))
+    rank = np.empty(n, np.int64)
+    rank[ordered] = np.arange(n)
+    pairs, which = np.unique(rank[before] * n + rank[tokens], return_inverse=True)
+    u, w = ordered[pairs // n], ordered[pairs % n]
+    cells = of[u] * g + of[w]
+    order = np.argsort(cells, kind="stable")  # pairs of a cell stay in the order of their places
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    u, w = u[order], w[order]
+    return cells[order], place[u] << 32 | place[w], at[which], np.repeat(unpack(text[2], "u1") == 0, lengths), (u, w), text
 
 
 def cells_of(rows: DataFrame, g: int) -> DataFrame:
@@ -212,15 +206,13 @@ def cells_of(rows: DataFrame, g: int) -> DataFrame:
     def send(chunk, held):
         cells, keys, which, train, _, _ = _numbered(held, g)
         times = np.bincount(which[train], minlength=len(keys))
-        borders = np.flatnonzero(np.diff(cells, prepend=-1))
-        for a, b in zip(borders, [*borders[1:], len(cells)]):
-            yield int(cells[a]), PAIRS, chunk, [pack_sorted(keys[a:b]), pack(times[a:b])]
+        for cell, own, n in zip(*_groups(cells, keys, times)):
+            yield int(cell), PAIRS, chunk, [pack_sorted(own), pack(n)]
 
     def merge(cell, held):
         each = [unpack_sorted(d[0]) for _, _, d in held]
         keys, places = np.unique(np.concatenate(each), return_inverse=True)
-        times = np.zeros(len(keys), np.int64)
-        np.add.at(times, places, np.concatenate([unpack(d[1]) for _, _, d in held]))
+        times = np.bincount(places, np.concatenate([unpack(d[1]) for _, _, d in held]))
         yield cell, PAIRS, 0, [pack_sorted(keys), pack(times)]
         at = 0
         for (_, chunk, _), own in zip(held, each):
@@ -293,7 +285,7 @@ def sweep_dishes(customers: np.ndarray, discount: float, weight: np.ndarray, rng
     size = np.frexp(customers.astype(float))[1]
     for bits in np.unique(size[customers > 1]):
         here = np.flatnonzero((size == bits) & (customers > 1))
-        tables[here] = reseat(customers[here], tables[here], discount, weight[here], int(min(visits, 1 << int(bits))), rng)
+        tables[here] = reseat(customers[here], tables[here], discount, weight[here], int(min(visits, 1 << int(bits) - 1)), rng)
     return tables
 
 
@@ -418,7 +410,7 @@ def _sums(held: list, kind: int, n: int) -> np.ndarray:
 
 
 def sweep_words(words: DataFrame, sent: DataFrame, spelling: Spelling, tables_before: int, discount: float, strength: float, seed: list[int]) -> DataFrame:
-    """Seats the restaurant of words, whose customers are the contexts' tables."""
+    """Seats the restaurant of words, whose customers are the contexts' tables: TABLES per slice, and the customers of the bytes of its words (SPELLED)."""
 
     def work(key, held):
         data = next(d for k, _, d in held if k == WORDS)
@@ -430,29 +422,23 @@ def sweep_words(words: DataFrame, sent: DataFrame, spelling: Spelling, tables_be
         seen = np.flatnonzero(customers)
         tables[seen] = sweep_dishes(customers[seen], discount, (strength + discount * tables_before) * p[seen], _after([*seed, key]))
         yield key, TABLES, 0, [pack(_sums(held, FOLLOWERS, len(texts))), pack(customers), pack(tables), pack(p, "<f4")]
+        cells, where = np.unique(spells, return_inverse=True)
+        sums = np.bincount(where, np.repeat(tables, np.diff(np.append(starts, len(spells)))), len(cells))
+        some = sums > 0
+        yield key, SPELLED, 0, [pack(np.concatenate([cells[some], [-3, -2, -1]])), pack(np.concatenate([sums[some], [customers.sum(), p[seen].sum(), tables.sum()]]), "<f8")]
 
     return by_key(of_kind(words, WORDS).unionByName(of_kind(sent, FOLLOWERS, VISITORS)), work)
 
 
-def spelling_customers(words: DataFrame, seated: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+def spelling_customers(seated: DataFrame) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
     """Customers of the byte restaurants, at most 257 ** 3 sums, and under -3, -2 and -1 those of words, the known probability and the tables."""
 
-    def work(key, held):
-        found = {kind: data for kind, _, data in held}
-        texts = words_of(found[WORDS][0])
-        customers, tables, p = unpack(found[TABLES][1]), unpack(found[TABLES][2]), unpack(found[TABLES][3], "<f4").astype(float)
-        spells, starts = spelled(texts)
-        cells, where = np.unique(spells, return_inverse=True)
-        sums = np.bincount(where, np.repeat(tables, np.diff(np.append(starts, len(spells)))), len(cells))
-        some = sums > 0
-        yield 0, PAIRS, 0, [pack(np.concatenate([cells[some], [-3, -2, -1]])), pack(np.concatenate([sums[some], [customers.sum(), p[customers > 0].sum(), tables.sum()]]), "<f8")]
-
     def opened(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(unpack(row["data"][0])), pa.array(unpack(row["data"][1], "<f8"))], ["cell", "n"])
 
-    rows = by_key(of_kind(words, WORDS).unionByName(seated), work).mapInArrow(opened, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = of_kind(seated, SPELLED).mapInArrow(opened, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     cells, sums = rows.column("cell").to_numpy(), rows.column("n").to_numpy()
     order = np.argsort(cells)
     cells, sums = cells[order], sums[order]
@@ -504,8 +490,8 @@ def fit(words: DataFrame, cells: DataFrame, g: int, facts: dict[str, int], seed:
     for sweep in range(sweeps):
         sent = stored(sweep_pairs(cells, messages, g, pair_discount, strength, [seed, sweep, 0]), "pairs")
         seated = stored(sweep_words(words, sent, spelling, tables, word_discount, strength, [seed, sweep, 1]), "words")
-        keys, customers, sums = spelling_customers(words, seated)
-        sample = Sample(int(sums.get(-3, 0)), int(sums.get(-1, 0)), sums.get(-2, 0.0), word_discount, strength, seated, of_kind(sent, TABLES))
+        keys, customers, sums = spelling_customers(seated)
+        sample = Sample(int(sums.get(-3, 0)), int(sums.get(-1, 0)), sums.get(-2, 0.0), word_discount, strength, of_kind(seated, TABLES), of_kind(sent, TABLES))
         if len(keys):
             spelling = seat_spelling(keys, customers, spelling, np.random.default_rng([seed, sweep]), strength=strength)
         tables, shares = sample.tables, sample.shares()
@@ -516,7 +502,7 @@ def fit(words: DataFrame, cells: DataFrame, g: int, facts: dict[str, int], seed:
             followers, customers, seats, p = (unpack(d, k) for d, k in zip(found[TABLES], ("<i8", "<i8", "<i8", "<f4")))
             return followers, chances(customers, seats, p, customers > 0, shares)
 
-        messages = messages_of(seated, g, of_sweep)
+        messages = messages_of(of_kind(seated, TABLES), g, of_sweep)
     return pair_discount, samples
 
 
@@ -538,11 +524,11 @@ def score_texts(docs: DataFrame, seed: int = 11, cell: int = CELL) -> DataFrame:
     and are scored each; a null id is fine; an empty table gives no rows. Without training texts
     words are all unknown.
     """
-    chunks = stored(cut(docs), "chunks")
-    g = max(1, math.ceil(math.sqrt((chunks.agg(F.sum("tokens")).first()[0] or 0) / cell)))
-    words = stored(slices(chunks, g), "slices")
+    g = max(1, math.ceil(math.sqrt((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / cell)))
+    chunks = stored(cut(docs, g), "chunks")
+    words = stored(slices(chunks), "slices")
     facts = _facts(words, WORDS)
-    texts = of_kind(chunks, TEXT).select("key", "kind", "other", "data")
+    texts = of_kind(chunks, TEXT)
     links = of_kind(words, LINK).select(F.col("other").alias("key"), "kind", F.col("key").alias("other"), "data")
     cells = stored(cells_of(texts.unionByName(links), g), "cells")
     discount, samples = fit(words, cells, g, facts, seed)
@@ -572,7 +558,7 @@ def score_texts(docs: DataFrame, seed: int = 11, cell: int = CELL) -> DataFrame:
     floor = math.log10(facts["n"] + 0.5 * (facts["types"] + 1))
 
     def add_up(chunk, held):
-        _, _, which, _, ends, text = _numbered(held, g)
+        _, _, which, _, (u, w), text = _numbered(held, g)
         n = sum(len(unpack(d[1])) for k, _, d in held if k == LINK)
         customers, followers, p = np.zeros(n, np.int64), np.zeros((len(shares), n)), np.zeros((len(shares), n))
         for kind, _, data in held:
@@ -583,8 +569,7 @@ def score_texts(docs: DataFrame, seed: int = 11, cell: int = CELL) -> DataFrame:
                     followers[i, at], p[i, at] = unpack(data[3 + 2 * i]), unpack(data[4 + 2 * i], "<f4")
         found = [[unpack(v) for v in d] for k, _, d in held if k == PAIRS]  # by cell, as the pairs are
         times, *tables = (np.concatenate(v) for v in zip(*found))
-        u, w = ends >> 32, ends & 0xFFFFFFFF
-        total = np.zeros(len(ends))
+        total = np.zeros(len(u))
         for i, seats in enumerate(tables):
             total += (times - discount * seats + (strength + discount * followers[i][u]) * p[i][w]) / (strength + customers[u])
         score, base, known = np.log10(total / len(tables)), np.log10(customers + 0.5)[w] - floor, (customers > 0)[w]
