@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER, binary_column, column_like, fold, pieces
 from tidemark.session import stored
 
-CHUNK = 20 << 20  # bytes of texts whose words are numbered together
+CHUNK = 12 << 20  # bytes of texts whose words are numbered together
 CELL = 6 << 20  # bytes of text per cell of pairs, on average
 SWEEPS, BURN = 3, 1
 STRENGTH, SPELL_DISCOUNT = 1.0, 0.5
@@ -184,8 +184,8 @@ def _numbered(rows: list, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     of, place = np.empty(n, np.int64), np.empty(n, np.int64)
     for s, places, locals_ in links:
         of[locals_], place[locals_] = s, places
-    tokens, lengths = unpack(text[0], "<u4").astype(np.int64), unpack(text[1])
-    before = np.concatenate([[0], tokens[:-1]])
+    tokens, lengths = unpack(text[0], "<u4"), unpack(text[1])
+    before = np.roll(tokens, 1)
     before[np.cumsum(lengths) - lengths] = tokens[-1]  # each text ends with END, and comes after one
     ordered = np.lexsort((place, of))
     rank = np.empty(n, np.int64)
@@ -194,7 +194,7 @@ def _numbered(rows: list, g: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     u, w = ordered[pairs // n], ordered[pairs % n]
     cells = of[u] * g + of[w]
     order = np.argsort(cells, kind="stable")  # pairs of a cell stay in the order of their places
-    at = np.empty(len(order), np.int64)
+    at = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
     at[order] = np.arange(len(order))
     u, w = u[order], w[order]
     return cells[order], place[u] << 32 | place[w], at[which], np.repeat(unpack(text[2], "u1") == 0, lengths), (u, w), text
