@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import LOWER, binary_column, column_like, fold, pieces
 from tidemark.session import stored
 
-CHUNK = 12 << 20  # bytes of texts whose words are numbered together
+CHUNK = 8 << 20  # bytes of texts whose words are numbered together
 CELL = 6 << 20  # bytes of text per cell of pairs, on average
 SWEEPS, BURN = 3, 1
 STRENGTH, SPELL_DISCOUNT = 1.0, 0.5
@@ -86,7 +86,7 @@ def by_key(rows: DataFrame, work: Callable[[int, list[tuple[int, int, list[bytes
     def run(batches):
         key, held = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one row's bytes at a time
                 if held and row["key"] != key:
                     if out := list(work(key, held)):
                         yield _batch(out)
