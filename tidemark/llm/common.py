@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,14 @@ def column_like(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker lives on behind its task and would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """``text`` compressed, as ``z``, for exchanges in which whole texts meet what was found in them."""
 

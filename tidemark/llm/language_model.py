@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, binary_column, column_like, fold, pieces
+from tidemark.llm.common import LOWER, binary_column, column_like, fold, pieces, release
 from tidemark.session import stored
 
 CHUNK = 8 << 20  # bytes of texts whose words are numbered together
@@ -80,23 +80,34 @@ def _batch(rows: Iterable[Row]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROW.types)], schema=_ROW)
 
 
-def by_key(rows: DataFrame, work: Callable[[int, list[tuple[int, int, list[bytes]]]], Iterator[Row]]) -> DataFrame:
-    """``work`` on the rows of each key, in the order of kind and other; keys must stay small enough for a task."""
+def by_key(
+    rows: DataFrame, work: Callable[[int, list[tuple[int, int, list[bytes]]]], Iterator[tuple]], schema: str = ROW,
+    batch_of: Callable[[list[tuple]], pa.RecordBatch] = _batch,
+) -> DataFrame:
+    """``work`` on the rows of each key, in the order of kind and other; keys must stay small enough for a task.
+
+    ``batch_of`` makes the rows of ``schema`` from what it yields.
+    """
+
+    def done(key, held):
+        if out := list(work(key, held)):
+            yield batch_of(out)
+        held.clear()
+        out = None
+        release()
 
     def run(batches):
         key, held = None, []
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # one row's bytes at a time
                 if held and row["key"] != key:
-                    if out := list(work(key, held)):
-                        yield _batch(out)
-                    held = []
+                    yield from done(key, held)
                 key = row["key"]
                 held.append((row["kind"], row["other"], row["data"]))
-        if held and (out := list(work(key, held))):
-            yield _batch(out)
+        if held:
+            yield from done(key, held)
 
-    return rows.repartition("key").sortWithinPartitions("key", "kind", "other").mapInArrow(run, ROW)
+    return rows.repartition("key").sortWithinPartitions("key", "kind", "other").mapInArrow(run, schema)
 
 
 def of_kind(rows: DataFrame, *kinds: int) -> DataFrame:
@@ -143,6 +154,7 @@ def cut(docs: DataFrame, g: int) -> DataFrame:
             for a, b in pieces(np.array([len(t) for t in texts], np.int64), CHUNK):
                 yield _batch(rows(chunk, texts[a:b], ids.slice(a, b - a), held[a:b]))
                 chunk += 1
+                release()
 
     return docs.select("doc_id", "held", "text").mapInArrow(run, ROW)
 
@@ -576,16 +588,14 @@ def score_texts(docs: DataFrame, seed: int = 11, cell: int = CELL) -> DataFrame:
         lengths = unpack(text[1])
         starts = np.cumsum(lengths) - lengths
         sums = [np.add.reduceat(v[which].astype(k), starts) for v, k in ((known, np.int64), (base, float), (score, float))]
-        yield chunk, TEXT, 0, [text[3], text[4], text[2], pack(lengths), pack(sums[0]), pack(sums[1], "<f8"), pack(sums[2], "<f8")]
+        yield unpack(text[3]), unpack(text[4], "u1"), unpack(text[2], "u1"), lengths, *sums
 
-    def opened(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, void, held, lengths, known, base, score = (unpack(d, k) for d, k in zip(row["data"], ("<i8", "u1", "u1", "<i8", "<i8", "<f8", "<f8")))
-                columns = [pa.array(ids, mask=void > 0), pa.array(held > 0), *map(pa.array, (lengths, known, base, score))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+    def scored(chunks):
+        ids, void, held, *columns = map(np.concatenate, zip(*chunks))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=void > 0), pa.array(held > 0), *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = by_key(texts.unionByName(back).unionByName(pairs), add_up).mapInArrow(opened, SCORED)
+    out = by_key(texts.unionByName(back).unionByName(pairs), add_up, SCORED, scored)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts["n"]).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
