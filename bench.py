@@ -23,7 +23,7 @@ NAMED = [
     "wl08_pricing_summary", "wl08_shipping_priority", "jo17_star", "jo16_skewed", "ag24_cube", "ag29_several_distinct", "wi20_top_n",
     "so01_global_sort", "so05_top_k", "so11_bernoulli_sample", "so11_poisson_sample", "wl01_word_count", "wl03_inverted_index",
     "ln17_go_back", "ln33_trace_latency", "ln33_carried_latency", "ln41_removal_state", "ln44_slowest_inputs", "ln52_delta_debugging",
-    "gx17_page_rank", "gx18_connected_components", "gx20_triangle_count", "ev16_gramian", "ss13_tumbling_window",
+    "gx17_page_rank", "gx18_connected_components_urgent", "gx20_triangle_count", "ev16_gramian", "ss13_tumbling_window",
 ]
 
 

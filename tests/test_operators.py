@@ -167,3 +167,19 @@ def test_count_min(spark):
     rows = exact.join(sketch.estimate(exact.select("w"), "w"), "w").collect()
     assert all(r.estimate >= r.n for r in rows)
     assert sum(r.estimate - r.n > 0.01 * 5000 for r in rows) <= 0.05 * len(rows)
+
+
+def test_rank_of_hot_keys_without_a_window(spark):
+    """Ties share a rank, NaN comes last and equals itself, a null key is a key; no window runs over a key."""
+    rows = [(i, None if i % 3 == 0 else "hot", float("nan") if i % 5 == 0 else float(i % 4)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, k string, d double").repartition(4)
+    ranked = blocks.rank(blocks.numbered(df, ["k"], ["d", "id"]), ["k"], ["d"])
+    assert "Window" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+    def place(d):
+        return (d != d, 0 if d != d else d)
+
+    expected = {i: 1 + sum(k2 == k and place(d2) < place(d) for _, k2, d2 in rows) for i, k, d in rows}
+    assert {r.id: r["rank"] for r in ranked.collect()} == expected
+    summed = blocks.over_key(df, ["k"], F.count("*").alias("n"))
+    assert {(r.k, r.n) for r in summed.collect()} == {(None, 20), ("hot", 40)} and summed.count() == 60

@@ -112,6 +112,16 @@ def ranks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], rn: str =
         (F.col("_last") / n).alias("cume_dist"), tile.cast("bigint").alias("ntile"))
 
 
+def over_key(rows: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """Aggregates over all rows of a key beside each row."""
+    return _by_key(rows, keys, *aggregates)
+
+
+def rank(rows: DataFrame, keys: Sequence[str], order: Sequence[str], rn: str = "rn", name: str = "rank") -> DataFrame:
+    """The rank alone, in place of the row number; ``order`` may be ascending or not, as the rows were numbered."""
+    return _by_key(rows, keys, F.min(rn).alias(name), extra=order).drop(rn)
+
+
 def ends(rows: DataFrame, keys: Sequence[str], value: str, rn: str = "rn") -> DataFrame:
     """first_value and last_value over the whole key."""
     return _by_key(rows, keys, F.min_by(value, rn).alias("first_value"), F.max_by(value, rn).alias("last_value"))

@@ -168,7 +168,7 @@ def rounds(n: int, first: str, step: str, last: str, edges: str = WITH_E) -> str
 SPREAD = "SELECT id, max(x) AS x FROM (SELECT id, x FROM {r} UNION ALL SELECT dst, x FROM e JOIN {r} ON id = src) GROUP BY 1"
 
 
-@query("gx16_pregel", rounds(30, "SELECT id, bal AS x FROM v", SPREAD, "SELECT id, x AS state FROM {r}", WITH_U))
+@query("gx16_pregel_urgent", rounds(30, "SELECT id, bal AS x FROM v", SPREAD, "SELECT id, x AS state FROM {r}", WITH_U))
 def _(t):
     """The largest balance on any path into a vertex."""
     return pregel(urgent(t), F.col("bal"), F.greatest, lambda s, d: F.when(s > d, s), F.max)
@@ -177,9 +177,9 @@ def _(t):
 REACHED = f"""WITH RECURSIVE {VERTS}, {WITH_E}, r(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM r JOIN e ON src = id) """
 
 
-@query("gx16_pregel_all_links", f"{REACHED} SELECT r.id, max(bal) AS state FROM r JOIN v ON v.id = x GROUP BY 1")
+@query("gx16_pregel", f"{REACHED} SELECT r.id, max(bal) AS state FROM r JOIN v ON v.id = x GROUP BY 1")
 def _(t):
-    """The same over the links of all priorities."""
+    """The same over the links of all priorities; paths are as long as they get."""
     return pregel(links(t), F.col("bal"), F.greatest, lambda s, d: F.when(s > d, s), F.max)
 
 
@@ -210,26 +210,26 @@ REACH = f"""WITH RECURSIVE {VERTS}, {WITH_U}, b AS (SELECT src, dst FROM e UNION
     r(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM r JOIN b ON src = id) """
 
 
-@query("gx18_connected_components", f"{REACH} SELECT id, min(x) AS component FROM r GROUP BY 1")
+@query("gx18_connected_components_urgent", f"{REACH} SELECT id, min(x) AS component FROM r GROUP BY 1")
 def _(t):
     return A.connected_components(urgent(t))
 
 
-@query("gx18_connected_components_all_links", f"""
+@query("gx18_connected_components", f"""
     WITH RECURSIVE {VERTS}, {WITH_E}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
     r(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM r JOIN b ON src = id) SELECT id, min(x) AS component FROM r GROUP BY 1""")
 def _(t):
     return A.connected_components(links(t))
 
 
-@query("gx19_strongly_connected_components", f"""
+@query("gx19_strongly_connected_components_urgent", f"""
     WITH RECURSIVE {VERTS}, {WITH_U}, r(id, x) AS (SELECT id, id FROM v UNION SELECT dst, x FROM r JOIN e ON src = id)
     SELECT a.id, min(a.x) AS component FROM r AS a JOIN r AS b ON a.id = b.x AND a.x = b.id GROUP BY 1""")
 def _(t):
     return A.strongly_connected_components(urgent(t))
 
 
-@query("gx19_strongly_connected_components_all_links", f"{REACHED} SELECT a.id, min(a.x) AS component FROM r AS a JOIN r AS b ON a.id = b.x AND a.x = b.id GROUP BY 1")
+@query("gx19_strongly_connected_components", f"{REACHED} SELECT a.id, min(a.x) AS component FROM r AS a JOIN r AS b ON a.id = b.x AND a.x = b.id GROUP BY 1")
 def _(t):
     return A.strongly_connected_components(links(t))
 
@@ -300,7 +300,7 @@ def _(t):
         SELECT x.src, x.dst FROM p AS x JOIN p AS y ON x.src = y.dst AND x.dst = y.src) AS b ON b.src = v.id GROUP BY v.id)
     SELECT DISTINCT x.component AS src, y.component AS dst FROM p JOIN c AS x ON x.id = p.src JOIN c AS y ON y.id = p.dst""")
 def _(t):
-    """Paths between classes of customers that reach one another, over all links; ``gx19_.._all_links`` has the members."""
+    """Paths between classes of customers that reach one another, over all links; ``gx19_strongly_connected_components`` has the members."""
     return A.class_closure(links(t))[1]
 
 

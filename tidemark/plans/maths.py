@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import random
 from tidemark.functions.projection import project
+from tidemark.operators import blocks
 from tidemark.registry import query
 
 X = "(c_custkey % 200 - 100) / 100"  # in [-1, 1)
@@ -114,10 +115,9 @@ def _(t):
     SELECT c_custkey, isnan(d) AS is_nan, CASE WHEN isnan(d) THEN -1.0 ELSE d END::DOUBLE AS replaced, d > 1e300 AS larger, d = d AS equal,
            CAST(rank() OVER (PARTITION BY c_nationkey ORDER BY d) AS INTEGER) AS place FROM x""")
 def _(t):
-    from pyspark.sql.window import Window
-
+    """NaN equals NaN and comes last; a nation may hold any share of the customers."""
     d = F.when(F.col("c_custkey") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
-    by = Window.partitionBy("c_nationkey").orderBy("d")
-    return t.customer.withColumn("d", d).select(
+    rows = t.customer.select("c_custkey", "c_nationkey", d.alias("d"))
+    return blocks.rank(blocks.numbered(rows, ["c_nationkey"], ["d", "c_custkey"]), ["c_nationkey"], ["d"], name="place").select(
         "c_custkey", F.isnan("d").alias("is_nan"), F.nanvl("d", F.lit(-1.0)).alias("replaced"), (F.col("d") > 1e300).alias("larger"),
-        (F.col("d") == F.col("d")).alias("equal"), F.rank().over(by).alias("place"))
+        (F.col("d") == F.col("d")).alias("equal"), F.col("place").cast("int"))

@@ -173,11 +173,12 @@ def _(t):
     SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY nullif(c_custkey % 4, 0) DESC NULLS LAST, c_custkey) AS INTEGER) AS last_,
            CAST(row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY nullif(c_custkey % 4, 0) ASC NULLS FIRST, c_custkey) AS INTEGER) AS first_ FROM customer""")
 def _(t):
-    x = F.expr("nullif(c_custkey % 4, 0)")
-    by = W.partitionBy("c_mktsegment", "c_nationkey")
-    return t.customer.select(
-        "c_custkey", F.row_number().over(by.orderBy(x.desc_nulls_last(), "c_custkey")).alias("last_"),
-        F.row_number().over(by.orderBy(x.asc_nulls_first(), "c_custkey")).alias("first_"))
+    """A segment of a nation may hold any share of the customers: numbered over range partitions."""
+    keys, x = ["c_mktsegment", "c_nationkey"], F.col("x")
+    rows = t.customer.select("c_custkey", *keys, F.expr("nullif(c_custkey % 4, 0)").alias("x"))
+    last = row_numbers(rows, keys, [x.desc_nulls_last(), "c_custkey"], "last_")
+    both = row_numbers(last, keys, [x.asc_nulls_first(), "c_custkey"], "first_")
+    return both.select("c_custkey", F.col("last_").cast("int"), F.col("first_").cast("int"))
 
 
 same("wi17_named_window", """
@@ -189,9 +190,11 @@ same("wi17_named_window", """
     SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC) AS INTEGER) AS in_brand,
            round(sum(p_retailprice) OVER (PARTITION BY p_type, p_size), 2) AS of_type FROM part""")
 def _(t):
-    return t.part.select(
-        "p_partkey", F.rank().over(W.partitionBy("p_brand").orderBy(F.desc("p_retailprice"))).alias("in_brand"),
-        F.round(F.sum("p_retailprice").over(W.partitionBy("p_type", "p_size")), 2).alias("of_type"))
+    """Few brands hold all parts: ranks from range partitions, sums per type and size joined back."""
+    rows = t.part.select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    ranked_ = blocks.rank(blocks.numbered(rows, ["p_brand"], [F.desc("p_retailprice"), "p_partkey"]), ["p_brand"], ["p_retailprice"], name="in_brand")
+    summed = blocks.over_key(ranked_, ["p_type", "p_size"], F.sum("p_retailprice").alias("s"))
+    return summed.select("p_partkey", F.col("in_brand").cast("int"), F.round("s", 2).alias("of_type"))
 
 
 @query("wi19_over_aggregate", """
