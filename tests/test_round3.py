@@ -4,7 +4,15 @@ from __future__ import annotations
 
 from types import SimpleNamespace
 
+import numpy as np
+import pytest
+from pyspark.ml import feature as M
+from pyspark.sql import functions as F
+
 from tidemark import registry
+from tidemark.operators import neighbours, pieces
+from tidemark.plans import features, models
+from tidemark.streaming import runner, state
 
 
 def built(name, **tables):
@@ -23,3 +31,82 @@ def test_sketch_is_not_kept_per_order(spark, capfd):
     assert sorted(map(tuple, found.collect()), key=str) == sorted([("A", 2, 2), (None, 1, 1), ("R", 0, 0)], key=str)
     lines = [x for x in plan(found, capfd).splitlines() if "approx_count_distinct(" in x]
     assert lines and not any("l_orderkey" in x.split("functions=")[0] for x in lines)
+
+
+def test_python_groups_come_together(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def partial(rows):
+        calls.add(1)
+        assert str(rows["k"].dtype) == "int64" or rows["k"].isna().all()
+        return rows.groupby("k", dropna=False, sort=False)["v"].agg(n="size", s="sum").reset_index()
+
+    rows = [(i % 300 if i % 7 else 2**60 + 1, 1.0) for i in range(2000)] + [(None, 2.0)] * 5 + [(3, None)]
+    df = spark.createDataFrame(rows, "k bigint, v double").repartition(3)
+    found = pieces.map_groups(df, "k", F.xxhash64(F.rand(1)), partial, "k bigint, n bigint, s double", F.sum("n").alias("n"), F.sum("s").alias("s"), max_rows=50, many=True)
+    wanted = df.groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    assert calls.value < 100  # of some 300 groups
+
+
+def test_files_of_a_stream_follow_the_length_of_texts(spark, monkeypatch):
+    monkeypatch.setattr(runner, "BYTES_PER_FILE", 10_000, raising=False)
+    df = spark.createDataFrame([(i, "x" * 1000, None) for i in range(200)], "id bigint, a string, b binary")
+    path, width = runner.batch_files(df, 4)
+    assert width == 6 and spark.read.parquet(path).count() == 200
+    assert runner.batch_files(df.select("id"), 4)[1] == 1
+
+
+def test_state_is_shared_by_keys_of_a_bucket(spark, tmp_path):
+    rows = [(i % 50 if i % 9 else None, f"s{i % 3}", float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k bigint, s string, v double")
+    df.repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    emitted = runner.run_append(state.running_totals(stream, ["k", "s"], "v", buckets=5), checkpoint=f"{tmp_path}/c")
+    latest = emitted.groupBy("k", "s").agg(F.max_by(F.struct("n", "total"), "n").alias("x")).select("k", "s", "x.n", "x.total")
+    wanted = df.groupBy("k", "s").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    assert sorted(map(tuple, latest.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    assert spark.read.format("statestore").load(f"{tmp_path}/c").count() <= 5
+
+
+def test_only_near_pairs_leave_a_cell(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((300, 6)).astype(np.float32)
+    v[250:] = v[0]  # copies
+    rows = spark.createDataFrame([(i, i % 2, x.tolist()) for i, x in enumerate(v)], "id bigint, cell bigint, x array<float>")
+    there, asked = rows.selectExpr("id key", "cell", "x _v"), rows.where("id % 5 = 0").selectExpr("id query", "cell", "x _q")
+    w = v.astype(np.float64)
+    d = np.sqrt(((w[:, None] - w[None]) ** 2).sum(axis=2))
+    alike = lambda i: [j for j in range(300) if j % 2 == i % 2]
+    near = {tuple(r) for r in neighbours._met_in_cells(there, asked, limit=1.3).collect()}
+    assert near == {(i, j) for i in range(0, 300, 5) for j in alike(i) if d[i, j] <= 1.3}
+    best = [tuple(r) for r in neighbours._met_in_cells(there, asked, k=4).collect()]
+    assert sorted(best) == sorted((i, j) for i in range(0, 300, 5) for j in sorted(alike(i), key=lambda j: (d[i, j], j))[:4])
+
+
+def test_training_rows_are_cut_by_their_number(spark):
+    df = spark.range(1000, numPartitions=1)
+    assert models.in_parts(df, 300).rdd.getNumPartitions() == 4 and models.in_parts(df, 1000).rdd.getNumPartitions() == 1
+    assert models.in_parts(df, 300).distinct().count() == 1000
+
+
+@pytest.mark.parametrize("name, table", [("mo24_als", "lineitem.parquet"), ("mo20_lda", "documents.parquet"), ("ft23_idf", "documents.parquet")])
+def test_steps_used_more_than_once_are_stored(spark, tables, capfd, name, table):
+    assert table not in plan(registry.load_all()[name].build(tables), capfd)
+
+
+def test_word_vectors_train_in_as_many_parts_as_words_need(spark, tables, monkeypatch):
+    made = []
+
+    class Recorded:
+        def __getattr__(self, name):
+            return getattr(M, name)
+
+        def Word2Vec(self, **options):  # noqa: N802
+            made.append(options["numPartitions"])
+            return M.Word2Vec(**options)
+
+    monkeypatch.setattr(features, "WORDS_PER_PART", 5000, raising=False)
+    monkeypatch.setattr(features, "M", Recorded())
+    assert registry.load_all()["ft24_word2vec"].build(tables).count() == tables.documents.count()
+    assert made[0] > 4
