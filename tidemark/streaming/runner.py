@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tidemark.tables import Tables
 
 
 ROWS_PER_FILE = 1_000_000
+BYTES_PER_FILE = 64 << 20  # of text
 ROWS_PER_STATE_PARTITION = 100_000
 
 _input_rows: dict[str, int] = {}  # rows of the input made last, per application
@@ -35,12 +37,15 @@ def sized(spark: SparkSession):
 def batch_files(df: DataFrame, batches: int = 4) -> tuple[str, int]:
     """Write ``df`` as files for ``batches`` micro-batches; returns the folder and files per batch.
 
-    The number of files follows the number of rows, so a micro-batch is read by many tasks.
+    The number of files follows the number of rows and the length of their texts, so a micro-batch
+    is written and read by many tasks, whether its rows are many or long.
     """
     path = scratch(df.sparkSession, "stream-input")
-    rows = df.count()
+    texts = [F.octet_length(F.col(f"`{c}`")) for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = [F.sum(reduce(lambda a, b: a + b, [F.coalesce(x, F.lit(0)).cast("bigint") for x in texts]))] if texts else [F.lit(0)]
+    rows, length = df.agg(F.count("*"), *size).first()
     _input_rows[df.sparkSession.sparkContext.applicationId] = rows
-    width = rows // (batches * ROWS_PER_FILE) + 1
+    width = max(rows // (batches * ROWS_PER_FILE), (length or 0) // (batches * BYTES_PER_FILE)) + 1
     df.repartition(batches * width).write.parquet(path)
     return path, width
 
