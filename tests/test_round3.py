@@ -10,6 +10,7 @@ from pyspark.ml import feature as M
 from pyspark.sql import functions as F
 
 from tidemark import registry
+from tidemark.ml import recommend
 from tidemark.operators import neighbours, pieces
 from tidemark.plans import features, models
 from tidemark.streaming import runner, state
@@ -110,3 +111,23 @@ def test_word_vectors_train_in_as_many_parts_as_words_need(spark, tables, monkey
     monkeypatch.setattr(features, "M", Recorded())
     assert registry.load_all()["ft24_word2vec"].build(tables).count() == tables.documents.count()
     assert made[0] > 4
+
+
+def test_best_items_are_those_of_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    u, v = rng.standard_normal((60, 4)).astype(np.float32), (rng.standard_normal((900, 4)) * rng.random((900, 1))).astype(np.float32)
+    v[800:] = v[0]  # ties
+    schema = "id int, features array<float>"
+    users, items = (spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], schema) for m in (u, v))
+    found = {}
+    for r in recommend.best_items(users, items, 3).collect():
+        found.setdefault(r["user"], []).append((-r["rating"], r["item"]))
+    s = np.cumsum(u[:, None] * v[None], axis=2, dtype=np.float32)[:, :, -1].astype(float)
+    assert {k: sorted(x) for k, x in found.items()} == {i: sorted((-s[i, j], j) for j in range(900))[:3] for i in range(60)}
+    assert recommend.best_items(users, items.limit(0), 3).count() == 0
+    assert recommend.best_items(users, items.limit(2), 3).count() == 120
+
+
+def test_not_all_pairs_are_scored(spark, tables, capfd):
+    text = plan(registry.load_all()["mo24_als_implicit"].build(tables), capfd)
+    assert "CartesianProduct" not in text and "recommend" not in text.lower()
