@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from tidemark.ml import patterns
 
 
@@ -30,3 +32,14 @@ def test_only_frequent_prefixes_are_written(spark, monkeypatch):
                 wanted[a, b] = n
     assert {p: n for p, n in found.items() if len(p) < 3} == wanted
     assert max(sizes.values()) < 3 * events.count()  # of some 7,600 pairs in sequences
+
+
+def test_archives_are_read_once(spark, capfd):
+    pytest.importorskip("tidemark.llm")
+    from tidemark.llm import queries
+
+    found = queries.op3_archives(spark, "/root/testdata/sf0.001")
+    capfd.readouterr()
+    found.explain()
+    assert capfd.readouterr().out.count("binaryFile") == 0
+    assert found.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()

@@ -252,10 +252,11 @@ READ = (
     "payload_digest string, payload binary")
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The response and revisit records below ``path``; a revisit has the length and digest of the payload it refers to.
 
     Block and payload digests of what is stored are computed again and must agree with the headers.
+    Without ``payloads`` the payloads are read and checked, but not returned.
     """
 
     def walk(name, stream):
@@ -270,16 +271,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             if kind == "response" and digest != base32_sha1(payload):
                 raise ValueError(f"{name}: a payload doesn't have the digest of its header")
             page, length = header_value(http, b"X-Page-Id"), header_value(http, b"Content-Length")
-            yield (
+            row = (
                 kind, header_value(head, b"WARC-Record-ID"), int(page) if page else None, header_value(head, b"WARC-Target-URI"),
                 header_value(head, b"WARC-Date"), header_value(head, b"WARC-Refers-To"), int(length) if length else len(payload), digest,
                 payload if kind == "response" else None)
+            yield row if payloads else row[:-1]
 
-    return _walk(spark.read.format("binaryFile").load(path), walk, READ)
+    return _walk(spark.read.format("binaryFile").load(path), walk, READ if payloads else READ.removesuffix(", payload binary"))
 
 
-def convert(pages: DataFrame) -> DataFrame:
-    """Pages through ARC files into WARC files and back: one row per page as the WARC files have it.
+def convert(pages: DataFrame, payloads: bool = True) -> DataFrame:
+    """Pages through ARC files into WARC files and back: one row per page as the WARC files have it, ``payloads`` with its payload.
 
     ``pages`` has page_id, url and html; more columns are ignored, an empty table gives no rows.
     Repeated rows are records of their own (of equal ones one is the response). A null html is an
@@ -289,7 +291,7 @@ def convert(pages: DataFrame) -> DataFrame:
     arc, warc = scratch(spark, "arc"), scratch(spark, "warc")
     write_arc(pages, arc)
     write_warc(mark_revisits(read_arc(spark, arc)), warc)
-    return read_warc(spark, warc)
+    return read_warc(spark, warc, payloads)
 
 
 def resolved(records: DataFrame) -> DataFrame:
