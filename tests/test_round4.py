@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidemark.lineage import latency, store
+from tidemark.lineage.frame import LineageFrame
+from tidemark.lineage.trace import trace
 from tidemark.ml import patterns
 
 
@@ -43,3 +48,37 @@ def test_archives_are_read_once(spark, capfd):
     found.explain()
     assert capfd.readouterr().out.count("binaryFile") == 0
     assert found.count() == spark.read.parquet("/root/testdata/sf0.001/pages.parquet").count()
+
+
+def test_input_ids_are_stored_once(spark, tmp_path):
+    """Records of a join or flat map hold the ids of their inputs; only aggregates need edges."""
+    left = LineageFrame.source(spark.createDataFrame([(1, "a b", 2.0), (2, "b", 3.0), (3, None, 1.0)], "k int, line string, spent double"), "left", ["k"], "spent")
+    right = LineageFrame.source(spark.createDataFrame([(1, 5.0), (2, 7.0), (4, 9.0)], "k int, w double"), "right", ["k"], "w")
+    words = left.join(right, ["k"], "full").flat_map(F.split("line", " "), "word").map("word", cost="1.0")
+    job = words.flat_map(F.array("word", "word"), "word").aggregate(["word"], F.count("*").alias("n"))
+    store.save(job, str(tmp_path), "app")
+    again = store.load(spark, str(tmp_path), "app")
+    folders = {os.path.relpath(d, tmp_path / "app_id=app") for d, _, files in os.walk(tmp_path) if any(f.endswith(".parquet") for f in files)}
+    written = {f for f in folders if f != "dag"}
+    assert not [f for f in written if f.endswith("rows") and "in_0" in spark.read.parquet(str(tmp_path / "app_id=app" / f)).columns]
+    assert sum(not f.endswith("records") for f in written) == 2  # of the aggregate, and of the flat map with another cost
+    for one, two in zip((f for f, _ in trace(job).back_to_sources().at), (f for f, _ in trace(again).back_to_sources().at)):
+        assert sorted(map(tuple, one.df.collect())) == sorted(map(tuple, two.df.collect()))
+    for name in ("left", "right"):
+        assert sorted(map(str, trace(job).back_to_sources().ids(name).collect())) == sorted(map(str, trace(again).back_to_sources().ids(name).collect())) != []
+    found = [sorted(map(str, latency.trace_latency(f).collect())) for f in (job, again)]
+    assert found[0] == found[1] != []
+
+
+def test_next_step_needs_no_edges_of_records_with_their_inputs_ids(spark, capfd):
+    lines = LineageFrame.source(spark.createDataFrame([(1, "a b  c"), (2, "b"), (2, "b"), (None, "d a")], "k int, line string"), "lines", ["k"], verify=False)
+    words = lines.flat_map(F.split("line", " "), "word").filter("word <> ''")
+    start = trace(words.aggregate(["word"], F.count("*").alias("n"))).filter("id.word in ('c', 'd')").go_back().go_back()
+    found = start.go_next()
+    assert sorted((r[0].src.k or 0, r[0].pos) for r in found.ids().collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 3)]
+    assert sorted(r[0].word for r in found.go_next().ids().collect()) == ["a", "b", "c", "d"]
+    down = trace(lines.flat_map(F.split("line", " "), "word")).go_back().filter("id.k = 2").go_next()
+    assert len(down.filter("word = 'c'").go_next().ids().collect()) == 0 and len(down.ids().collect()) == 1
+    capfd.readouterr()
+    found.ids().explain()
+    assert capfd.readouterr().out.count("LeftSemi") == 2  # a step back and this one: none with the records that are left

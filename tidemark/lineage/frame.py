@@ -32,7 +32,8 @@ class Stage:
 
     ``latency`` is what the input record cost inside its own stage, ``total`` the same with
     everything behind it. ``rows`` holds the links side by side (out_id, in_0, lat_0, in_1, ..)
-    where an output has one input per parent. ``origin`` is the tagged table of a source.
+    where an output has one input per parent, ``linked`` the records with the costs of their links
+    (_lat_0, _total_0, ..). ``origin`` is the tagged table of a source.
     """
 
     name: str
@@ -40,6 +41,7 @@ class Stage:
     parents: tuple[LineageFrame, ...] = ()
     edges: tuple[DataFrame, ...] = ()
     rows: DataFrame | None = None
+    linked: DataFrame | None = None
     back: tuple[Callable[[Column], Column], ...] = ()
     build: Callable[..., LineageFrame] | None = None
     origin: DataFrame | None = None
@@ -156,13 +158,14 @@ class LineageFrame:
             F.col(ID).alias("out_id"), F.col("_in").alias("in_0"), F.col("_lat").alias("lat_0"),
             F.col(TOTAL).alias("total_0"),
         )
+        plain = [c for c in made.columns if c not in (*HIDDEN, "_size", "_pos")]
+        out = [ID, F.lit(0.0).alias(COST), TOTAL, *plain]
         new = Stage(
-            stage, "flat_map", (self,), (edge_of(rows, 0),), rows, structural_back("flat_map", 1),
+            stage, "flat_map", (self,), (edge_of(rows, 0),), rows,
+            linked.select(*out, F.col("_lat").alias("_lat_0"), F.col(TOTAL).alias("_total_0")), structural_back("flat_map", 1),
             lambda f: f.flat_map(array, name, *columns, split=split, stage=stage),
         )
-        plain = [c for c in made.columns if c not in (*HIDDEN, "_size", "_pos")]
-        out = linked.select(ID, F.lit(0.0).alias(COST), TOTAL, *plain)
-        return LineageFrame(out, new)
+        return LineageFrame(linked.select(*out), new)
 
     def aggregate(
         self, keys: Sequence[Column | str], *aggregates: Column, stage: str = "aggregate"
@@ -181,7 +184,7 @@ class LineageFrame:
         out = grouped.select(F.struct(*named).alias(ID), F.lit(0.0).alias(COST), TOTAL, *plain)
         edges = _edges_to(self.df, F.struct(*columns))
         new = Stage(
-            stage, "aggregate", (self,), (edges,), None, (),
+            stage, "aggregate", (self,), (edges,), None, None, (),
             lambda f: f.aggregate(keys, *aggregates, stage=stage),
         )
         return LineageFrame(out, new)
@@ -202,15 +205,16 @@ class LineageFrame:
             F.col("_l").alias("in_0"), F.col("_lc").alias("lat_0"), F.col("_lt").alias("total_0"),
             F.col("_r").alias("in_1"), F.col("_rc").alias("lat_1"), F.col("_rt").alias("total_1"),
         )
+        hidden = ("_l", "_lc", "_lt", "_r", "_rc", "_rt", ID)
+        plain = [c for c in joined.columns if c not in hidden]
+        out = [ID, F.lit(0.0).alias(COST), F.greatest("_lt", "_rt").alias(TOTAL), *plain]
+        costs = {"_lc": "_lat_0", "_lt": "_total_0", "_rc": "_lat_1", "_rt": "_total_1"}
         new = Stage(
             stage, "join", (self, other), (edge_of(rows, 0), edge_of(rows, 1)), rows,
-            structural_back("join", 2),
+            joined.select(*out, *[F.col(c).alias(name) for c, name in costs.items()]), structural_back("join", 2),
             lambda a, b: a.join(b, on, how, stage),
         )
-        hidden = ("_l", "_lc", "_lt", "_r", "_rc", "_rt", ID)
-        plain = [c for c in joined.columns if c not in hidden]
-        total = F.greatest("_lt", "_rt").alias(TOTAL)
-        return LineageFrame(joined.select(ID, F.lit(0.0).alias(COST), total, *plain), new)
+        return LineageFrame(joined.select(*out), new)
 
     def cogroup(
         self, other: LineageFrame, key: str, left_agg: Sequence[Column], right_agg: Sequence[Column],
@@ -229,7 +233,7 @@ class LineageFrame:
         )
         edges = tuple(_edges_to(f.df, F.struct(key)) for f in (self, other))
         new = Stage(
-            stage, "cogroup", (self, other), edges, None, (),
+            stage, "cogroup", (self, other), edges, None, None, (),
             lambda a, b: a.cogroup(b, key, left_agg, right_agg, stage),
         )
         return LineageFrame(out, new)
@@ -255,7 +259,7 @@ class LineageFrame:
             out = part if out is None else out.unionByName(part)
             links.append(_edges_to(f.df, new_id))
         new = Stage(
-            stage, "union", frames, tuple(links), None, structural_back("union", len(frames)),
+            stage, "union", frames, tuple(links), None, None, structural_back("union", len(frames)),
             lambda a, *b: a.union(*b, stage=stage),
         )
         return LineageFrame(out, new)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.lineage.frame import ID, LineageFrame, Stage, edge_of, structural_back
 from tidemark.lineage.trace import _frames
 
-_DAG = "app_id string, stage int, name string, kind string, parents array<int>, has_cost boolean, wide boolean"
+_DAG = "app_id string, stage int, name string, kind string, parents array<int>, has_cost boolean, wide boolean, linked boolean"
 
 
 def capped(records: DataFrame, limit: int, partition: Column, order: str = ID) -> DataFrame:
@@ -26,6 +26,8 @@ def save(root: LineageFrame, path: str, app_id: str) -> None:
     """Write records and edges of every stage, parents first.
 
     Each stage is computed from the stored records of its parents, so the work is that of one run.
+    Input ids that an output's id holds are not written again, and where records are as their stage
+    made them, the costs of their links stand beside them.
     """
     frames = _frames(root)
     numbers = {id(f): i for i, f in enumerate(frames)}
@@ -33,6 +35,7 @@ def save(root: LineageFrame, path: str, app_id: str) -> None:
     base = f"{path}/app_id={app_id}"
     done: dict[int, LineageFrame] = {}
     wide: dict[int, bool] = {}
+    linked: dict[int, bool] = {}
 
     def write(f: LineageFrame) -> LineageFrame:
         if id(f) not in done:
@@ -44,19 +47,21 @@ def save(root: LineageFrame, path: str, app_id: str) -> None:
                 for step in f.narrow:
                     frame = step(frame)
             records = f"{base}/stage={i}/records"
-            frame.df.write.mode("overwrite").parquet(records)
             wide[i] = frame.stage.rows is not None and not frame.filtered
-            if wide[i]:  # all sides at once, from one run of the join
-                frame.stage.rows.write.mode("overwrite").parquet(f"{base}/stage={i}/rows")
-            else:
+            linked[i] = wide[i] and not f.narrow
+            (frame.stage.linked if linked[i] else frame.df).write.mode("overwrite").option("compression", "zstd").parquet(records)
+            if wide[i] and not linked[i]:  # all sides at once, from one run of the join
+                rows = frame.stage.rows.drop(*[f"in_{side}" for side in range(len(stage.parents))])
+                rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/stage={i}/rows")
+            elif not wide[i]:
                 for side, edges in enumerate(frame.inputs()):
-                    edges.write.mode("overwrite").parquet(f"{base}/stage={i}/edges/side={side}")
+                    edges.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/stage={i}/edges/side={side}")
             done[id(f)] = replace(frame, df=spark.read.schema(frame.df.schema).parquet(records))
         return done[id(f)]
 
     write(root)
     rows = [
-        (app_id, i, f.stage.name, f.stage.kind, [numbers[id(p)] for p in f.stage.parents], f.has_cost, wide[i])
+        (app_id, i, f.stage.name, f.stage.kind, [numbers[id(p)] for p in f.stage.parents], f.has_cost, wide[i], linked[i])
         for i, f in enumerate(frames)
     ]
     spark.createDataFrame(rows, _DAG).coalesce(1).write.mode("overwrite").parquet(f"{base}/dag")
@@ -72,15 +77,21 @@ def load(spark: SparkSession, path: str, app_id: str) -> LineageFrame:
         if i not in built:
             r = dag[i]
             parents = tuple(build(p) for p in r.parents)
-            rows = spark.read.parquet(f"{base}/stage={i}/rows") if r.wide else None
+            records, rows, back = spark.read.parquet(f"{base}/stage={i}/records"), None, structural_back(r.kind, len(parents))
+            costs = [f"{cost}_{s}" for s in range(len(parents)) for cost in ("lat", "total")]
+            if r.linked:
+                rows = records.select(F.col(ID).alias("out_id"), *[F.col(f"_{c}").alias(c) for c in costs])
+                records = records.drop(*[f"_{c}" for c in costs])
+            elif r.wide:
+                rows = spark.read.parquet(f"{base}/stage={i}/rows")
+            if r.wide:
+                rows = rows.withColumns({f"in_{s}": back[s](F.col("out_id")) for s in range(len(parents))})
             edges = tuple(
                 edge_of(rows, s) if r.wide else spark.read.parquet(f"{base}/stage={i}/edges/side={s}")
                 for s in range(len(parents))
             )
-            stage = Stage(r.name, r.kind, parents, edges, rows, structural_back(r.kind, len(parents)))
-            built[i] = LineageFrame(
-                spark.read.parquet(f"{base}/stage={i}/records"), stage, has_cost=r.has_cost
-            )
+            stage = Stage(r.name, r.kind, parents, edges, rows, None, back)
+            built[i] = LineageFrame(records, stage, has_cost=r.has_cost)
         return built[i]
 
     return build(0)
