@@ -5,8 +5,9 @@ Only ids move through the joins of a trace; values are joined last, where they a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -17,11 +18,16 @@ from tidemark.lineage.frame import COST, ID, TOTAL, LineageFrame
 
 @dataclass(frozen=True, eq=False)
 class Trace:
-    """A set of record ids at one or several steps of a pipeline (``at``: step, ids)."""
+    """A set of record ids at one or several steps of a pipeline (``at``: step, ids).
+
+    ``above`` tells of a step reached by ``go_next`` that its ids are those of all its records for which a
+    part of the id, given as a function of it, is among some ids further up: (step, function, ids).
+    """
 
     root: LineageFrame
     at: tuple[tuple[LineageFrame, DataFrame], ...]
     whole: bool = False  # all records of the step: nothing to restrict
+    above: tuple[tuple[LineageFrame, Callable[[Column], Column], DataFrame], ...] = ()
 
     def ids(self, source: str | None = None) -> DataFrame:
         """Traced ids of a step, the first one if none is named; branches of one step are united."""
@@ -48,7 +54,7 @@ class Trace:
                 if not self.whole:
                     picked = picked.join(ids, "id", "left_semi")
             kept.append((frame, picked))
-        return replace(self, at=tuple(kept), whole=False)
+        return replace(self, at=tuple(kept), whole=False, above=())
 
     def go_back(self) -> Trace:
         """The distinct inputs of the traced records, one step up."""
@@ -65,7 +71,7 @@ class Trace:
                         ids.withColumnRenamed("id", "out_id"), "out_id", "left_semi"
                     ).select(F.col("in_id").alias("id"))
                 found.append((parent, inputs.distinct()))
-        return replace(self, at=_merged(found), whole=False)
+        return replace(self, at=_merged(found), whole=False, above=())
 
     def go_next(self) -> Trace:
         """All records, one step down, that any traced record contributed to."""
@@ -74,16 +80,25 @@ class Trace:
             for i, parent in enumerate(frame.stage.parents):
                 children.setdefault(id(parent), []).append((frame, i))
         found: list[tuple[LineageFrame, DataFrame]] = []
+        known = {id(frame): (part, ids) for frame, part, ids in self.above}
+        above = []
         for frame, ids in self.at:
             below = children.get(id(frame), [])
             if not below:
                 found.append((frame, ids))
+            # all inputs of a child are records of this step, so what tells its ids apart tells them apart too
+            part, wanted = known.get(id(frame), (lambda c: c, ids))
             for child, i in below:
-                outputs = child.inputs()[i].join(
-                    ids.withColumnRenamed("id", "in_id"), "in_id", "left_semi"
-                ).select(F.col("out_id").alias("id"))
+                if child.stage.back:  # an output's id holds its inputs'
+                    holds = partial(lambda part, back, c: part(back(c)), part, child.stage.back[i])
+                    edges = child.df.select(F.col(ID).alias("out_id"), holds(F.col(ID)).alias("id"))
+                    above.append((child, holds, wanted))
+                else:
+                    edges = child.inputs()[i].select("out_id", part(F.col("in_id")).alias("id"))
+                outputs = edges.where("id is not null").join(wanted, "id", "left_semi").select(F.col("out_id").alias("id"))
                 found.append((child, outputs.distinct()))
-        return replace(self, at=_merged(found), whole=False)
+        reached = [id(frame) for frame, _ in found]
+        return replace(self, at=_merged(found), whole=False, above=tuple(a for a in above if reached.count(id(a[0])) == 1))
 
     def back_to_sources(self) -> Trace:
         """Repeat ``go_back`` over the fixed depth of the pipeline."""
@@ -101,7 +116,7 @@ class Trace:
     def resume(self, shown: DataFrame) -> Trace:
         """Go on tracing from a subset of what ``show`` returned."""
         ids = shown.select("id").distinct()
-        return replace(self, at=tuple((frame, ids) for frame, _ in self._step(None)), whole=False)
+        return replace(self, at=tuple((frame, ids) for frame, _ in self._step(None)), whole=False, above=())
 
     def replay(self) -> LineageFrame:
         """Run the pipeline again on the traced source records only."""
