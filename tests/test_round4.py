@@ -82,3 +82,24 @@ def test_next_step_needs_no_edges_of_records_with_their_inputs_ids(spark, capfd)
     capfd.readouterr()
     found.ids().explain()
     assert capfd.readouterr().out.count("LeftSemi") == 2  # a step back and this one: none with the records that are left
+
+
+def test_toxicity_learns_from_rows_of_any_length(spark, monkeypatch):
+    """Only texts above 32 KB tell what the word means; copies of the net are averaged."""
+    pytest.importorskip("tidemark.llm")
+    from tidemark.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "ROWS", 90, raising=False)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 1500, raising=False)
+    rng = random.Random(9)
+    rows = []
+    for i in range(500):
+        words, bad = rng.choices("tree house river cloud stone".split(), k=7000 if i % 2 else 5), i % 4 > 1
+        if i % 2 and bad:
+            words[rng.randrange(len(words))] = "zounds"
+        rows.append((i, " ".join(words), "en", int(bad if i % 2 else rng.random() < 0.5)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int").repartition(4)
+    found = toxicity.classify(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()
+    held = [r for r in found if r["held_out"] and r["doc_id"] % 2]
+    toxic, clean = ([r["score"] for r in held if (r["doc_id"] % 4 > 1) is kind] for kind in (True, False))
+    assert min(toxic) > max(clean)
