@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.graph import algorithms
 from tidemark.lineage import latency, store
 from tidemark.lineage.frame import LineageFrame
 from tidemark.lineage.trace import trace
@@ -103,3 +104,19 @@ def test_toxicity_learns_from_rows_of_any_length(spark, monkeypatch):
     held = [r for r in found if r["held_out"] and r["doc_id"] % 2]
     toxic, clean = ([r["score"] for r in held if (r["doc_id"] % 4 > 1) is kind] for kind in (True, False))
     assert min(toxic) > max(clean)
+
+
+def test_ratings_meet_their_factors_once_a_round(spark, monkeypatch, capfd):
+    ratings = spark.createDataFrame([(u, i, float(u * i % 5)) for u in range(6) for i in range(5) if (u + i) % 3] + [(0, 7, None)], "user bigint, item bigint, rating double")
+    plans, write = [], algorithms.stored
+
+    def explained(df, label="stage"):
+        capfd.readouterr()
+        df.explain("formatted")
+        plans.append(capfd.readouterr().out)
+        return write(df, label)
+
+    monkeypatch.setattr(algorithms, "stored", explained)
+    users, items, _ = algorithms.svd_plus_plus(ratings, rounds=2)
+    assert users.count() == 6 and items.count() == 6
+    assert sum("rating:" in line for plan in plans for line in plan.splitlines() if "ReadSchema" in line) == 2
