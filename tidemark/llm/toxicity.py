@@ -29,8 +29,9 @@ START = 0.005  # scale of the embedding before training: words that never traine
 TAPS = sum(WIDTHS)
 HEAD = 5  # bytes of a word that its second hash covers
 PADS = max(WIDTHS) - 1  # rows of nothing behind each text
-ROWS = 4000  # rows that one copy of the net trains on in a pass
+ROWS = 16_000  # rows that one copy of the net trains on in a pass
 BLOCKS = 16  # parts of the embedding that are averaged by themselves
+FEW_LABELS = 1_000_000  # labelled ids that are broadcast
 GRID = 1000  # steps of a logit in which the scores of calibration rows are counted
 CALIBRATION = 5  # one of so many labelled rows is kept for calibration
 LEAST_TOXIC = 10  # a language with fewer toxic calibration rows takes the threshold of all
@@ -263,7 +264,8 @@ def learned(docs: DataFrame, labels: DataFrame, seed: int) -> tuple[DataFrame, D
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     text = F.coalesce(F.col("text"), F.lit(""))
     mine = docs.where(fold("doc_id", FOLDS) != HELD_OUT).select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", text.alias("text"), F.xxhash64(text).alias("hash"))
-    rows = mine.join(known.withColumn("doc_id", F.col("doc_id").cast("bigint")), "doc_id").select("doc_id", "hash", "lang", "toxic", "text")
+    known = known.withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    rows = mine.join(F.broadcast(known) if known.count() <= FEW_LABELS else known, "doc_id").select("doc_id", "hash", "lang", "toxic", "text")
     found = rows.mapInArrow(cut, "doc_id bigint, hash bigint, lang string, toxic int, words binary")
     found = stored(found.groupBy("doc_id", "hash", "toxic").agg(F.min("lang").alias("lang"), F.min("words").alias("words")), "labelled")
     counts = {r["toxic"]: r["count"] for r in found.groupBy("toxic").count().collect()}
