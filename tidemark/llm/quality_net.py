@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import flat_column, fold, pieces
+from tidemark.llm.common import flat_column, fold, pieces, release
 
 STEP, WIDTH, DEPTH, FILTERS = 4, 8, 8, 32
 HALF = 256  # bytes; a chunk is two halves
@@ -214,6 +214,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
             data, borders = flat_column(batch, "text")
             out = [scores(net, data[borders[a]:borders[b]], borders[a:b + 1] - borders[a]) for a, b in pieces(np.diff(borders), 8 << 20)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*batch.schema.names, "score"])
+        release()
 
     return base.mapInArrow(run, schema)
 
