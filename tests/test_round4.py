@@ -120,3 +120,27 @@ def test_ratings_meet_their_factors_once_a_round(spark, monkeypatch, capfd):
     users, items, _ = algorithms.svd_plus_plus(ratings, rounds=2)
     assert users.count() == 6 and items.count() == 6
     assert sum("rating:" in line for plan in plans for line in plan.splitlines() if "ReadSchema" in line) == 2
+
+
+def test_edges_of_a_customer_are_clustered_in_one_partition(spark, monkeypatch, tmp_path):
+    from pyspark.ml import clustering
+
+    from tidemark.registry import queries
+    from tidemark.session import setting
+
+    rng, seen = random.Random(9), []
+    spark.createDataFrame([(o, o % 12) for o in range(60)], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    lines = [(rng.randrange(60), rng.randrange(30), float(rng.randint(1, 9))) for _ in range(600)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_suppkey bigint, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+
+    cluster = clustering.PowerIterationClustering.assignClusters
+
+    def seeing(self, affinity):
+        seen.append({(r["dst"], r["p"]) for r in affinity.select("dst", F.spark_partition_id().alias("p")).collect()})
+        return cluster(self, affinity)
+
+    monkeypatch.setattr(clustering.PowerIterationClustering, "assignClusters", seeing)
+    with setting(spark, "spark.sql.adaptive.coalescePartitions.enabled", "false"):
+        done = queries()["mo21_power_iteration_clustering"](spark, str(tmp_path)).collect()
+    assert len({p for _, p in seen[0]}) > 1 and len(seen[0]) == 12
+    assert sorted(r["id"] for r in done) == [*range(30), *(1_000_000_000 + c for c in range(12))]
