@@ -21,16 +21,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import Bits, column_like
-from tidemark.session import scratch, shuffle_partitions, stored
+from tidemark.llm.common import Bits, column_like, pieces, release
+from tidemark.session import scratch, setting, shuffle_partitions, stored
 
 MAGIC = b"DAC1"
 SEGMENT_TOKENS = 1 << 20
-CACHED_PIECES = 1_000_000  # of each Python worker
+CACHED_PIECES = 250_000  # of each Python worker
+PIECE = 1 << 20  # bytes of texts that are encoded at once
+BATCH_ROWS = 1000  # texts that are sent to a Python worker at once, at most
 LATIN = 0x130  # characters below are in normal form C, and so are their lower cases
 # fixed by the tokenizer file: how it cuts texts into pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -220,15 +223,17 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         own = encoder(tokenizer)
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            doc_ids, texts = column_like(batch, "doc_id").to_pylist(), column_like(batch, "text").to_pylist()
-            for start in range(0, len(texts), 1000):
-                ids = [np.concatenate([x, end]) for x in own.encode([t or "" for t in texts[start:start + 1000]])]
-                some = doc_ids[start:start + 1000]
+            doc_ids, texts = column_like(batch, "doc_id"), column_like(batch, "text")
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for start, stop in pieces(sizes, PIECE):
+                ids = [np.concatenate([x, end]) for x in own.encode([t or "" for t in texts.slice(start, stop - start).to_pylist()])]
+                some = doc_ids.slice(start, stop - start).to_pylist()
                 places = [0 if d is None else int(np.searchsorted(borders, d, side="right")) for d in some]
                 wide = [bool(x.max() > 65535) for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(some, pa.int64()), pa.array(places, pa.int32()), pa.array(wide), pa.array([x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide)], pa.binary())],
                     ["doc_id", "bucket", "wide", "ids"])
+        release()
 
     return docs.select("doc_id", "text").mapInArrow(encode, "doc_id bigint, bucket int, wide boolean, ids binary")
 
@@ -255,6 +260,8 @@ def write_codes(ids: DataFrame, path: str, segment_tokens: int = SEGMENT_TOKENS)
                 size += len(held[-1][1])
         if held:
             yield packed()
+        held = []
+        release()
 
     segments_ = sorted_.mapInArrow(pack, "bucket int, value binary")
     segments_.select("bucket", F.col("value").cast("string")).write.partitionBy("bucket").text(path)
@@ -278,6 +285,7 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                         [pa.array([where] * len(sums), pa.int32()), pa.array(s.doc_ids, pa.int64(), mask=s.nulls), pa.array(before + s.starts[:-1]),
                          pa.array(s.lengths), pa.array(sums, pa.int64())], ["bucket", "doc_id", "local", "n_tokens", "ids_crc32"])
                     before += s.n_ids
+        release()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.col("bucket").cast("int"), "content")
     rows = stored(files.mapInArrow(read, schema), "codes")
@@ -298,5 +306,8 @@ def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
     ids = encoded(docs, tokenizer, end_id)
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    write_codes(ids, path)
-    return read_codes(spark, path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    with setting(spark, key, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)):
+        write_codes(ids, path)
+        return read_codes(spark, path)
