@@ -4,7 +4,12 @@ from __future__ import annotations
 
 import os
 
+import pytest
+from pyspark.ml import recommendation
+
 import corpus_pipeline
+from tidemark import registry
+from tidemark.plans import models
 from tidemark.session import scratch, shared_root, stored, swept
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +38,21 @@ def test_swept_keeps_what_is_named_outside_and_what_kept_frames_read(spark):
         path = inner.inputFiles()[0].removeprefix("file://")
     assert not os.path.exists(path)  # nothing kept it outside
     assert outer.count() == 5
+
+
+@pytest.mark.parametrize("name", ["mo24_als", "mo24_als_implicit"])
+def test_ratings_lie_in_as_many_blocks_as_they_need(spark, tables, monkeypatch, name):
+    """Ten blocks, however many ratings, made a task hold a tenth of them."""
+    made = []
+
+    class Recorded:
+        def ALS(self, **options):  # noqa: N802
+            made.append((options.get("numUserBlocks", 10), options.get("numItemBlocks", 10)))
+            return recommendation.ALS(**options)
+
+    monkeypatch.setattr(models, "recommendation", Recorded())
+    small = registry.load_all()[name].build(tables).count()
+    monkeypatch.setattr(models, "RATINGS_PER_BLOCK", 400, raising=False)
+    assert registry.load_all()[name].build(tables).count() == small > 0
+    n = models.ratings(tables).count()
+    assert made == [(10, 10), (-(-n // 400), -(-n // 400))] and n > 4000
