@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 import pytest
-from pyspark.ml import recommendation
+from pyspark.ml import recommendation, regression
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidemark import registry
+from tidemark.ml import boosting
 from tidemark.plans import models
 from tidemark.session import scratch, shared_root, stored, swept
 
@@ -56,3 +60,26 @@ def test_ratings_lie_in_as_many_blocks_as_they_need(spark, tables, monkeypatch,
     assert registry.load_all()[name].build(tables).count() == small > 0
     n = models.ratings(tables).count()
     assert made == [(10, 10), (-(-n // 400), -(-n // 400))] and n > 4000
+
+
+@pytest.mark.parametrize("n", [300, 12_000])
+def test_boosted_trees_are_the_library_s(spark, n):
+    """From counts of cells, where every round read all rows several times and kept them in memory."""
+    rng = np.random.default_rng(n)
+    a, b, c = rng.standard_normal(n), np.round(rng.random(n) * 6) / 2 * (rng.random(n) < 0.6), np.full(n, 3.0)
+    y = a * a + b + rng.standard_normal(n) / 3
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, c, y)], "a double, b double, c double, label double").repartition(3, "a").cache()
+    rows = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    found = boosting.boosted(df, "label", ["a", "b", "c"], ["squared", "absolute"], rounds=4, depth=3)
+    for loss, p in found.items():
+        was = regression.GBTRegressor(maxIter=4, maxDepth=3, seed=1, lossType=loss).fit(rows).transform(rows)
+        assert was.where(F.abs(p - F.col("prediction")) > 1e-9).count() == 0
+    assert df.select(found["absolute"].alias("p")).distinct().count() > 8
+    df.unpersist()
+
+
+def test_boosted_trees_want_numbers(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0)], "a double, label double")
+    for some in (df, df.limit(0), df.selectExpr("double('NaN') AS a", "label")):
+        with pytest.raises(ValueError):
+            boosting.boosted(some, "label", ["a"], ["squared"], rounds=2, depth=2)
