@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidemark import registry
 from tidemark.ml import boosting
+from tidemark.operators import neighbours
 from tidemark.plans import models
 from tidemark.session import scratch, shared_root, stored, swept
 
@@ -83,3 +84,37 @@ def test_boosted_trees_want_numbers(spark):
     for some in (df, df.limit(0), df.selectExpr("double('NaN') AS a", "label")):
         with pytest.raises(ValueError):
             boosting.boosted(some, "label", ["a"], ["squared"], rounds=2, depth=2)
+
+
+@pytest.mark.parametrize("size", [1e-8, 1.0, 1e12])
+def test_close_pairs_are_all_pairs_within_the_limit(size):
+    """Tiles of single precision rule out far pairs only; exact distances decide."""
+    rng = np.random.default_rng(4)
+    q, v = rng.standard_normal((300, 8)) * size, rng.standard_normal((1500, 8)) * size
+    v[:50], v[7, 0], q[5, 1] = q[:50] + size * 1e-4, np.inf, np.nan
+    with np.errstate(invalid="ignore"):
+        d = np.sqrt(np.cumsum((v[None] - q[:, None]) ** 2, axis=2)[:, :, -1])
+    for limit in (d[0, 0], float(np.nanquantile(d[np.isfinite(d)], 0.01)), 2 * size):
+        i, j, exact = neighbours.close_pairs(q, v, limit)
+        assert sorted(zip(i.tolist(), j.tolist())) == [tuple(x) for x in np.argwhere(d <= limit)]
+        assert (exact == d[i, j]).all()
+    assert not len(neighbours.close_pairs(q[:0], v, 1.0)[0])
+
+
+def test_near_pairs_bring_their_distance_along(spark, capfd):
+    """Vectors were joined to the pairs once more, one row of floats for each of a number that grows with the square."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((400, 6)).astype(np.float32)
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(400, None)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    found = neighbours.near_pairs(df, "id", "v", 1.0, 0.999)
+    found.explain()
+    assert "Join" not in capfd.readouterr().out
+    w = v.astype(float)
+    d = np.sqrt(np.cumsum((w[None] - w[:, None]) ** 2, axis=2)[:, :, -1])
+    wanted = {(i, j): d[i, j] for i, j in np.argwhere(d <= 1.0).tolist() if i < j}
+    got = {(r["a"], r["b"]): r["distance"] for r in found.collect()}
+    assert len(got) >= 0.97 * len(wanted) and all(wanted[k] == x for k, x in got.items())
+    # a key that stands twice: all its vectors are compared
+    twice = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.5, 0.0]), (2, [0.1, 0.0])], "id bigint, v array<float>")
+    assert sorted(round(r["distance"], 3) for r in neighbours.near_pairs(twice, "id", "v", 1.0, 0.999).collect()) == [0.1, 0.4]
