@@ -15,7 +15,7 @@ from tidemark import registry
 from tidemark.ml import boosting
 from tidemark.operators import neighbours
 from tidemark.plans import models
-from tidemark.session import scratch, shared_root, stored, swept
+from tidemark.session import scratch, shared_root, small_batches, stored, swept
 
 SF = "/root/testdata/sf0.001"
 
@@ -118,3 +118,21 @@ def test_near_pairs_bring_their_distance_along(spark, capfd):
     # a key that stands twice: all its vectors are compared
     twice = spark.createDataFrame([(1, [0.0, 0.0]), (1, [0.5, 0.0]), (2, [0.1, 0.0])], "id bigint, v array<float>")
     assert sorted(round(r["distance"], 3) for r in neighbours.near_pairs(twice, "id", "v", 1.0, 0.999).collect()) == [0.1, 0.4]
+
+
+def test_small_batches_hold_inside_only(spark):
+    """Texts went to Python workers by 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = spark.range(30, numPartitions=1).selectExpr("repeat('x', 1000000) AS text")
+    with small_batches(spark):
+        found = [r[0] for r in texts.mapInArrow(sizes, "n bigint").collect()]
+    assert len(found) > 2 and max(found) < 16 << 20 and sum(found) > 30_000_000
+    assert spark.conf.get(key) == before

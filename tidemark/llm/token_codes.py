@@ -27,13 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.llm.common import Bits, column_like, pieces, release
-from tidemark.session import scratch, setting, shuffle_partitions, stored
+from tidemark.session import scratch, shuffle_partitions, small_batches, stored
 
 MAGIC = b"DAC1"
 SEGMENT_TOKENS = 1 << 20
 CACHED_PIECES = 250_000  # of each Python worker
 PIECE = 1 << 20  # bytes of texts that are encoded at once
-BATCH_ROWS = 1000  # texts that are sent to a Python worker at once, at most
 LATIN = 0x130  # characters below are in normal form C, and so are their lower cases
 # fixed by the tokenizer file: how it cuts texts into pieces
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -306,8 +305,6 @@ def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFram
     ids = encoded(docs, tokenizer, end_id)
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    rows = int(spark.conf.get(key))
-    with setting(spark, key, str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)):
+    with small_batches(spark):
         write_codes(ids, path)
         return read_codes(spark, path)
